@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from maskwright.llm import chat_format, decontaminate, packing
+from maskwright.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, packing
 
 QUERIES = {
     "op1_packing": packing.op1_query,
+    "op3_embedding_dedup": embedding_dedup.op3_query,
+    "op5_jaccard_join": jaccard_join.op5_query,
     "op7_chat_format": chat_format.op7_query,
     "op8_decontaminate": decontaminate.op8_query,
 }
 
 SQL = {
+    "op3_embedding_dedup": embedding_dedup.OP3_SQL,
+    "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
 }
