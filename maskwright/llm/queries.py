@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from maskwright.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, packing
+from maskwright.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, packing, ppm_score, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_query,
+    "op2_language_id": language_id.op2_query,
     "op3_embedding_dedup": embedding_dedup.op3_query,
     "op5_jaccard_join": jaccard_join.op5_query,
     "op7_chat_format": chat_format.op7_query,
     "op8_decontaminate": decontaminate.op8_query,
+    "op9_ppm_score": ppm_score.op9_query,
+    "op10_toxicity": toxicity.op10_query,
 }
 
 SQL = {
