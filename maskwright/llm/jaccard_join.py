@@ -9,8 +9,9 @@ others.
 
 Equal sets are merged first. Sets with a common segment are joined to one of them as a star, which tasks begin before
 the shuffle, so that a hot segment shrinks to a row per batch. Star pairs are verified on the whole texts and merged.
-Segments that then still hold several components give all their cross-component pairs, in blocks, thinned by size and by
-the Hamming distance of one-bit parity sketches, to be verified too: no link between components is lost.
+Segments that then still hold several components compare those in blocks, by size and by the Hamming distance of one-bit
+parity sketches: first the nearest pairs that would join them are verified, then all that are left between different
+components, so no link between components is lost.
 
 Defined cases: null or empty texts have no set, link with nothing and are their own component; fewer words than a
 shingle make one shingle; equal texts share a component; rows that share an id are one document; null ids link with
@@ -199,32 +200,54 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(docs.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]), "texts")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar enough, as a written table."""
-    pairs = materialise(pairs, "pairs")
-    own = _texts(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    side = lambda x: own.select(F.col("doc_id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
-    both = pairs.join(side("a"), F.col("a") == F.col("ia")).drop("ia").join(side("b"), F.col("b") == F.col("ib")).drop("ib")
+    side = lambda x: texts.select(F.col("doc_id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
+    both = materialise(pairs, "pairs").join(side("a"), F.col("a") == F.col("ia")).drop("ia").join(side("b"), F.col("b") == F.col("ib")).drop("ib")
     return materialise(both.mapInArrow(_verify_batches(shingle, percent), "a long, b long"), "links")
 
 
-def _cross_pairs(percent: int):
-    """Sorted by cell: pairs of different components in a cell whose sizes and sketches allow the similarity."""
+def _cross_pairs(percent: int, forest: bool):
+    """Sorted by cell: pairs of different components in a cell whose sizes and sketches allow the similarity.
+
+    ``forest``: only the nearest of them that would join all components of the cell which can be joined.
+    """
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
         node = np.array([r[1] for r in rows], np.int64)
         comp, n = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], np.float64)
         side = np.array([r[5] for r in rows])
         bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), BITS // 64)
-        t, out = percent / 100, []
+        t, left, right, dist = percent / 100, [], [], []
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, len(rows))
             j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) >= t * np.maximum(n[j], n[i]) - 1e-9) & ((side[j] != side[i]) | (side[i] == 2))]
             if len(j):
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
-                j = j[apart <= (1 - t) / (1 + t) * (n[j] + n[i]) + 1e-9]
-                out += [(int(min(node[i], x)), int(max(node[i], x))) for x in node[j].tolist()]
-        return out
+                ok = apart <= (1 - t) / (1 + t) * (n[j] + n[i]) + 1e-9
+                left.append(np.full(ok.sum(), i))
+                right.append(j[ok])
+                dist.append(apart[ok] / (n[j[ok]] + n[i]))
+        if not left:
+            return []
+        i, j = np.concatenate(left), np.concatenate(right)
+        if forest:
+            parent: dict[int, int] = {}
+
+            def root(x):
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            chosen = []
+            for k in np.argsort(np.concatenate(dist), kind="stable").tolist():
+                x, y = root(int(comp[i[k]])), root(int(comp[j[k]]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    chosen.append(k)
+            i, j = i[chosen], j[chosen]
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        return list(zip(a.tolist(), b.tolist(), strict=True))
 
     def go(batches):
         cell, rows = None, []
@@ -271,20 +294,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     live = routed.repartition(parts, "route").sortWithinPartitions("route", "key", "node").mapInArrow(_star_across, "key long, node long, n long, pivot long")
     live = materialise(live, "live")
     stars = live.filter("node != pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-    links = verify(stars, named, shingle, percent)
-    first = materialise(connected_components(links), "first")
-    # second round: keys whose sets are still in several components
-    members = live.select("key", "node").unionByName(live.select("key", F.col("pivot").alias("node"))).distinct()
-    members = members.join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    members = materialise(members, "members")
-    open_keys = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select(F.col("key").alias("_k"), "size")
-    open_keys = materialise(open_keys, "open")
-    facts = sets.select(F.col("node").alias("_n"), "n", "bits")
-    rows = members.join(open_keys, F.col("key") == F.col("_k")).join(facts, F.col("node") == F.col("_n")).select("key", "node", "comp", "n", "bits", "size")
-    dealt = cells(rows, ["key"], BLOCK).repartition(parts, "cell").sortWithinPartitions("cell", "node").select("cell", "node", "comp", "n", "bits", "side")
-    more = dealt.mapInArrow(_cross_pairs(percent), "a long, b long").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(verify(more, named, shingle, percent))
+    texts = _texts(named, live.select("node").unionByName(live.select(F.col("pivot").alias("node"))).distinct())
+    links = verify(stars, texts, shingle, percent)
     merged = materialise(connected_components(links), "merged")
+    # second round: keys whose sets are still in several components, first joined by forests, then pair by pair
+    members = materialise(live.select("key", "node").unionByName(live.select("key", F.col("pivot").alias("node"))).distinct(), "members")
+    facts, tested = sets.select(F.col("node").alias("_f"), "n", "bits"), stars
+    for forest in (True, False):
+        placed = members.join(merged.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+        placed = materialise(placed, "placed")
+        open_keys = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select(F.col("key").alias("_k"), "size")
+        members = placed.join(materialise(open_keys, "open"), F.col("key") == F.col("_k")).select("key", "node", "comp", "size")
+        rows = members.join(facts, F.col("node") == F.col("_f")).select("key", "node", "comp", "n", "bits", "size")
+        dealt = cells(rows, ["key"], BLOCK).repartition(parts, "cell").sortWithinPartitions("cell", "node").select("cell", "node", "comp", "n", "bits", "side")
+        more = dealt.mapInArrow(_cross_pairs(percent, forest), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+        more = materialise(more, "more")
+        tested = tested.unionByName(more)
+        links = links.unionByName(verify(more, texts, shingle, percent))
+        merged = materialise(connected_components(links), "merged")
+        members = members.select("key", "node")
     known = sets.join(merged.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("n", "h1", "h2", F.coalesce("component", "node").alias("component_id"))
     known = materialise(known, "known").withColumnsRenamed({"n": "_a", "h1": "_b", "h2": "_c"})
     small = own.mapInArrow(_features(shingle, percent, False), shape)
