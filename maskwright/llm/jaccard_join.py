@@ -4,8 +4,9 @@ A document's set is its distinct word shingles as 64-bit hashes. In the size ban
 segments and a set's sketch has one 64-bit parity (XOR) per segment. The number of segments in which two sketches differ
 is a Hamming distance that never exceeds the symmetric difference ``d`` of the sets. At the wanted similarity ``d`` is at
 most ``d_max``; with ``p = d_max + 1 + slack`` segments more than ``slack`` of them agree (pigeonhole), so joining on
-single segments finds every pair. Empty segments prove nothing: a set with at most ``slack`` of them emits only the
-others.
+single segments finds every pair. Segments with fewer than two hashes prove little: a set with at most ``slack`` of them
+drops them all, so some agreeing segment of the pair is emitted by both; a set with more drops only half of ``slack``, so
+two such sets together drop fewer than the segments they agree on.
 
 Equal sets are merged first. Sets with a common segment are joined to one of them as a star, which tasks begin before
 the shuffle, so that a hot segment shrinks to a row per batch. Star pairs are verified on the whole texts and merged.
@@ -34,7 +35,7 @@ from maskwright.llm.components import connected_components
 #: Defaults of near-duplicate stages: words of a shingle, and the similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
 #: Ratio of a size band's ends, its first size, and the bits of the one-bit parity sketch.
-BAND, FIRST, BITS = 1.5, 4, 1024
+BAND, FIRST, BITS = 1.3, 4, 4096
 #: Sets of a segment that are compared at once in the second round.
 BLOCK = 1000
 
@@ -67,7 +68,7 @@ class Bands:
         """(segments, slack)"""
         most = math.ceil(FIRST * BAND ** (band + 1)) + 1
         d = int(most * (1 + 1 / self.t) * (1 - self.t) / (1 + self.t) + 1e-9)
-        slack = 2 + d // 16
+        slack = 2 + d // 4
         return d + 1 + slack, slack
 
     def emitted(self, n: int) -> list[int]:
@@ -86,10 +87,13 @@ def segment_keys(u: np.ndarray, bands: Bands) -> np.ndarray:
         p, slack = bands.segments(band)
         edge = np.searchsorted((top * np.uint64(p)) >> np.uint64(32), np.arange(p + 1, dtype=np.uint64))
         value = parity[edge[1:]] ^ parity[edge[:-1]]
-        filled = edge[1:] > edge[:-1]
+        filled = np.diff(edge)
         seg = np.arange(p, dtype=np.uint64)
-        if p - filled.sum() <= slack:
-            value, seg = value[filled], seg[filled]
+        weak = np.argsort(filled, kind="stable")[: int((filled < 2).sum())]
+        drop = weak if len(weak) <= slack else weak[: slack // 2]
+        keep = np.ones(p, bool)
+        keep[drop] = False
+        value, seg = value[keep], seg[keep]
         out.append(B.mix(value + B.mix(seg + np.uint64(band << 32))))
     return np.concatenate(out)
 
@@ -179,6 +183,26 @@ def _star_across(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "n", "pivot"])
 
 
+def possible(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and one-bit sketches allow the similarity: their Hamming distance never exceeds the sets' difference."""
+    if not len(a):
+        return np.zeros(0, bool)
+    t = percent / 100
+    x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(len(v), BITS // 64) for v in (a, b))
+    apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9) & (apart <= (1 - t) / (1 + t) * (na + nb) + 1e-9)
+
+
+def _possible(percent: int):
+    def go(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
+            ok = pa.array(possible(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), na, nb, percent), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+    return go
+
+
 def _verify_batches(shingle: int, percent: int):
     def go(batches):
         for batch in batches:
@@ -200,10 +224,12 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(docs.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]), "texts")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar enough, as a written table."""
+    pairs = materialise(pairs, "pairs")
+    texts = _texts(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     side = lambda x: texts.select(F.col("doc_id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
-    both = materialise(pairs, "pairs").join(side("a"), F.col("a") == F.col("ia")).drop("ia").join(side("b"), F.col("b") == F.col("ib")).drop("ib")
+    both = pairs.join(side("a"), F.col("a") == F.col("ia")).drop("ia").join(side("b"), F.col("b") == F.col("ib")).drop("ib")
     return materialise(both.mapInArrow(_verify_batches(shingle, percent), "a long, b long"), "links")
 
 
@@ -223,7 +249,7 @@ def _cross_pairs(percent: int, forest: bool):
             j = np.arange(i + 1, len(rows))
             j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) >= t * np.maximum(n[j], n[i]) - 1e-9) & ((side[j] != side[i]) | (side[i] == 2))]
             if len(j):
-                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
+                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
                 ok = apart <= (1 - t) / (1 + t) * (n[j] + n[i]) + 1e-9
                 left.append(np.full(ok.sum(), i))
                 right.append(j[ok])
@@ -294,11 +320,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     live = routed.repartition(parts, "route").sortWithinPartitions("route", "key", "node").mapInArrow(_star_across, "key long, node long, n long, pivot long")
     live = materialise(live, "live")
     stars = live.filter("node != pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-    texts = _texts(named, live.select("node").unionByName(live.select(F.col("pivot").alias("node"))).distinct())
-    links = verify(stars, texts, shingle, percent)
+    # of the stars, those whose sizes and sketches allow the similarity
+    fact = lambda x: sets.select(F.col("node").alias(f"i{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    both = stars.join(fact("a"), F.col("a") == F.col("ia")).drop("ia").join(fact("b"), F.col("b") == F.col("ib")).drop("ib")
+    stars = materialise(both.mapInArrow(_possible(percent), "a long, b long"), "stars")
+    links = verify(stars, named, shingle, percent)
     merged = materialise(connected_components(links), "merged")
     # second round: keys whose sets are still in several components, first joined by forests, then pair by pair
-    members = materialise(live.select("key", "node").unionByName(live.select("key", F.col("pivot").alias("node"))).distinct(), "members")
+    # near-copies share many keys: of keys with the same sets one stands for all
+    h = F.xxhash64("node")
+    groups = live.groupBy("key", "pivot").agg(F.bit_xor(h).alias("s1"), F.sum(F.shiftrightunsigned(h, 20)).alias("s2"), F.count("*").alias("c"))
+    same = groups.groupBy("key").agg(F.bit_xor("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("c").alias("c"), F.bit_xor(F.xxhash64("pivot")).alias("s3"), F.min("pivot").alias("p"))
+    chosen = materialise(same.groupBy("s1", "s2", "s3", "c", "p").agg(F.min("key").alias("_k")).select("_k"), "chosen")
+    some = live.join(chosen, F.col("key") == F.col("_k"), "left_semi")
+    members = materialise(some.select("key", "node").unionByName(some.select("key", F.col("pivot").alias("node"))).distinct(), "members")
     facts, tested = sets.select(F.col("node").alias("_f"), "n", "bits"), stars
     for forest in (True, False):
         placed = members.join(merged.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
@@ -310,7 +345,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         more = dealt.mapInArrow(_cross_pairs(percent, forest), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         more = materialise(more, "more")
         tested = tested.unionByName(more)
-        links = links.unionByName(verify(more, texts, shingle, percent))
+        links = links.unionByName(verify(more, named, shingle, percent))
         merged = materialise(connected_components(links), "merged")
         members = members.select("key", "node")
     known = sets.join(merged.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("n", "h1", "h2", F.coalesce("component", "node").alias("component_id"))
