@@ -29,7 +29,7 @@ WINDOW, END_ID = 2048, 1
 #: Remainders that are packed together at most; bounds a task's memory.
 GROUP = 50_000
 #: Characters that are tokenized at once, and distinct words whose ids are kept by a worker.
-CHUNK_CHARS, CACHE_WORDS = 1_000_000, 1_000_000
+CHUNK_CHARS, CACHE_WORDS = 1_000_000, 200_000
 
 _SPACE_LEFT = re.compile(r"\s ")
 _state: dict = {}
@@ -50,6 +50,7 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         #: Tokens that begin with a blank (byte-level alphabets write it as U+0120).
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -75,7 +76,10 @@ class Words:
                 pieces.append(own)
                 new.update(dict.fromkeys(own))
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
+            # two generations: words that were not used since the last turn are forgotten
+            self.older, self.known = self.known, {}
+        for w in new.keys() & self.older.keys():
+            self.known[w] = self.older[w]
         fresh = [w for w in new if w not in self.known]
         plain = [w for w in fresh if w[:1] != "\0" and w and not w[-1].isspace()]
         for a in range(0, len(plain), 8192):
