@@ -9,11 +9,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch, where the session has Spark's default.
+BATCH_ROWS = "2000"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once per application, as a zip through Spark's own file distribution."""
+    # bounded Arrow batches: documents are kilobytes, and a worker holds a few batches at a time
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
