@@ -43,9 +43,12 @@ def parse_date(c: Column, order: Column | str = "mdy") -> Column:
 
     ``order``: how the page writes dates of numbers, unless this one can only be read the other way.
     """
-    t = bare(c)
-    g = lambda f, i: F.regexp_extract(t, PATTERN[f], i)
     order = F.lit(order) if isinstance(order, str) else order
+    return F.when(c.isNotNull(), F.element_at(F.transform(F.array(bare(c)), lambda t: _parse(t, order)), 1))
+
+
+def _parse(t: Column, order: Column) -> Column:
+    g = lambda f, i: F.regexp_extract(t, PATTERN[f], i)
     n1, n2 = _int(g("num", 1)), _int(g("num", 3))
     dmy = (n1 > 12) | ((order == "dmy") & (n2 <= 12))
     none = F.lit(None).cast("int")
@@ -59,13 +62,8 @@ def parse_date(c: Column, order: Column | str = "mdy") -> Column:
         "name_day": s("name_day", _int(g("name_day", 6)), _month_no(g("name_day", 1)), _int(g("name_day", 3))),
         "day_name": s("day_name", _full_year(g("day_name", 6)), _month_no(g("day_name", 4)), _int(g("day_name", 1))),
     }
-    out = F.lit(None).cast("struct<format:string,year:int,month:int,day:int>")
-    for f, pattern in reversed(FORMATS):
-        p = parts[f]
-        ok = p["month"].between(1, 12) & (p["day"].isNull() | p["day"].between(1, 31))
-        # a text of numbers that has this form but no such day is no date at all; other forms fall through to the next
-        out = F.when(t.rlike(pattern), F.when(ok, p).otherwise(F.lit(None) if f == "num" else out)).otherwise(out)
-    return out
+    ok = lambda p: p["month"].between(1, 12) & (p["day"].isNull() | p["day"].between(1, 31))
+    return F.coalesce(*(F.when(t.rlike(pattern), F.get(F.filter(F.array(parts[f]), ok), F.lit(0))) for f, pattern in FORMATS))
 
 
 def months_back(seed: int) -> int:
@@ -107,7 +105,11 @@ def shift_date(c: Column, seed: int, order: Column | str = "mdy") -> Column:
 
     The day stays unless the new month is shorter; without a year only the day moves.
     """
-    raw, t, p = F.trim(c), bare(c), parse_date(c, order)
+    bound = F.array(F.struct(F.trim(c).alias("raw"), bare(c).alias("t"), parse_date(c, order).alias("p")))
+    return F.when(c.isNotNull(), F.element_at(F.transform(bound, lambda b: _shift(b["raw"], b["t"], b["p"], seed, order)), 1))
+
+
+def _shift(raw: Column, t: Column, p: Column, seed: int, order: Column | str) -> Column:
     pre = F.regexp_extract(raw, r"\A[(\[]*", 0)
     post = F.regexp_extract(F.regexp_replace(raw, r"\A[(\[]*", ""), r"[.,;:)\]]*\z", 0)
     k = p["year"] * 12 + p["month"] - 1 - months_back(seed)
