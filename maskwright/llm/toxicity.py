@@ -26,6 +26,8 @@ WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 14, 1 << 13, 8,
 #: Labelled rows of each class that are learned from at most (about), windows of an epoch, and passes of both phases.
 TRAIN_ROWS, EPOCH_WINDOWS, FIRST_PASSES, SECOND_PASSES = 1500, 24_000, 3, 5
 THRESHOLD = 0.7
+#: Steps of the first phase at least.
+LEAST_STEPS = 400
 #: Share of dropped word vectors while training, and decay of weights.
 DROP, DECAY = 0.5, 0.02
 RUN_BYTES = 512 << 10
@@ -235,8 +237,10 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Net:
                 net.p[k] *= 1 - adam.rate * DECAY
 
     half = EPOCH_WINDOWS // 2
+    # small samples are passed over more often
+    more = max(1, -(-LEAST_STEPS * 256 // max(FIRST_PASSES * min(len(idx), EPOCH_WINDOWS), 1)))
     pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    for _ in range(FIRST_PASSES):
+    for _ in range(FIRST_PASSES * more):
         choice = np.concatenate([r.choice(pos, min(half, len(pos)), replace=False), r.choice(neg, min(half, len(neg)), replace=False)])
         epoch(choice, np.ones(len(choice), np.float32))
     for k in range(SECOND_PASSES):
