@@ -103,7 +103,7 @@ def bit_sketch(u: np.ndarray) -> bytes:
     return np.packbits(np.bincount((B.mix(u) >> np.uint64(50)).astype(np.int64) % BITS, minlength=BITS)[:BITS] & 1 == 1).tobytes()
 
 
-def _features(shingle: int, percent: int, full: bool):
+def _features(shingle: int, percent: int, keyed: bool = False, sketched: bool = False):
     def go(batches):
         bands = Bands(percent)
         for batch in batches:
@@ -114,16 +114,20 @@ def _features(shingle: int, percent: int, full: bool):
                     n.append(len(u))
                     h1.append(int(np.bitwise_xor.reduce(u)) if len(u) else 0)
                     h2.append(int(B.mix(u).sum()) if len(u) else 0)
-                    if full:
+                    if keyed:
                         keys.append(segment_keys(u, bands).view(np.int64))
+                    if sketched:
                         bits.append(bit_sketch(u))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             cols, names = [batch.column(0), pa.array(n, pa.int64()), signed(h1), signed(h2)], ["doc_id", "n", "h1", "h2"]
-            if full:
+            if keyed:
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                cols += [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())]
-                names += ["keys", "bits"]
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                names.append("keys")
+            if sketched:
+                cols.append(pa.array(bits, pa.binary()))
+                names.append("bits")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return go
@@ -146,6 +150,8 @@ def _star_in_batch(batches):
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         pivot = v[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else v
+        apart = new | (v != pivot)  # equal sets meet themselves
+        k, v, n, pivot, new = k[apart], v[apart], n[apart], pivot[apart], new[apart]
         route = np.where(new, k, B.mix(k ^ B.mix(v.view(np.uint64))))
         for a in range(0, len(k), 100_000):
             s = slice(a, a + 100_000)
@@ -174,7 +180,7 @@ def _star_across(batches):
                 end = int(np.argmax(k != k[0])) if (k != k[0]).any() else len(k)
                 lead[:end] = held[1]
                 first[0] = False
-            same = ~first
+            same = ~first & (v != lead)
             parts.append((k[same], v[same], s[same], lead[same]))
             if held is None or held[0] != k[-1]:
                 held = (k[-1], lead[-1])
@@ -273,7 +279,7 @@ def _cross_pairs(percent: int, forest: bool):
                     chosen.append(k)
             i, j = i[chosen], j[chosen]
         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        return list(zip(a.tolist(), b.tolist(), strict=True))
+        return list(zip(b.tolist(), a.tolist(), strict=True))
 
     def go(batches):
         cell, rows = None, []
@@ -311,30 +317,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     named = own.filter("doc_id is not null and text is not null")
     shape = "doc_id long, n long, h1 long, h2 long"
-    full = named.mapInArrow(_features(shingle, percent, True), shape + ", keys array<long>, bits binary").filter("n > 0")
-    sets = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
-    sets = materialise(sets, "sets")
+    # sets by their hash; the least id names a set from the verification on, so that equal hashes do no harm
+    sets = named.mapInArrow(_features(shingle, percent, sketched=True), shape + ", bits binary").filter("n > 0")
+    sets = materialise(sets.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits")), "sets")
     # first round: stars around the least set of each key
-    routed = sets.select("node", "n", "keys").mapInArrow(_star_in_batch, "route long, key long, node long, n long, pivot long")
+    keyed = named.mapInArrow(_features(shingle, percent, keyed=True), shape + ", keys array<long>").filter("n > 0")
+    routed = keyed.select(F.col("h1").alias("node"), "n", "keys").mapInArrow(_star_in_batch, "route long, key long, node long, n long, pivot long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     live = routed.repartition(parts, "route").sortWithinPartitions("route", "key", "node").mapInArrow(_star_across, "key long, node long, n long, pivot long")
     live = materialise(live, "live")
-    stars = live.filter("node != pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
     # of the stars, those whose sizes and sketches allow the similarity
-    fact = lambda x: sets.select(F.col("node").alias(f"i{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
-    both = stars.join(fact("a"), F.col("a") == F.col("ia")).drop("ia").join(fact("b"), F.col("b") == F.col("ib")).drop("ib")
-    stars = materialise(both.mapInArrow(_possible(percent), "a long, b long"), "stars")
+    stars = live.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
+    fact = lambda x: sets.select(F.col("h1").alias(f"h{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    both = stars.join(fact("a"), F.col("x") == F.col("ha")).drop("ha").join(fact("b"), F.col("y") == F.col("hb")).drop("hb", "x", "y")
+    stars = both.mapInArrow(_possible(percent), "a long, b long").filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    stars = materialise(stars.distinct(), "stars")
     links = verify(stars, named, shingle, percent)
     merged = materialise(connected_components(links), "merged")
     # second round: keys whose sets are still in several components, first joined by forests, then pair by pair
     # near-copies share many keys: of keys with the same sets one stands for all
     h = F.xxhash64("node")
-    groups = live.groupBy("key", "pivot").agg(F.bit_xor(h).alias("s1"), F.sum(F.shiftrightunsigned(h, 20)).alias("s2"), F.count("*").alias("c"))
+    groups = live.groupBy("key", "pivot").agg(F.bit_xor(h).alias("s1"), F.sum(F.shiftrightunsigned(h, 40)).alias("s2"), F.count("*").alias("c"))
     same = groups.groupBy("key").agg(F.bit_xor("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("c").alias("c"), F.bit_xor(F.xxhash64("pivot")).alias("s3"), F.min("pivot").alias("p"))
     chosen = materialise(same.groupBy("s1", "s2", "s3", "c", "p").agg(F.min("key").alias("_k")).select("_k"), "chosen")
     some = live.join(chosen, F.col("key") == F.col("_k"), "left_semi")
     members = materialise(some.select("key", "node").unionByName(some.select("key", F.col("pivot").alias("node"))).distinct(), "members")
     facts, tested = sets.select(F.col("node").alias("_f"), "n", "bits"), stars
+    names = sets.select(F.col("h1").alias("_h"), F.col("node").alias("name"))
+    members = members.join(names, F.col("node") == F.col("_h")).select("key", F.col("name").alias("node"))
     for forest in (True, False):
         placed = members.join(merged.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
         placed = materialise(placed, "placed")
@@ -350,7 +360,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         members = members.select("key", "node")
     known = sets.join(merged.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("n", "h1", "h2", F.coalesce("component", "node").alias("component_id"))
     known = materialise(known, "known").withColumnsRenamed({"n": "_a", "h1": "_b", "h2": "_c"})
-    small = own.mapInArrow(_features(shingle, percent, False), shape)
+    small = own.mapInArrow(_features(shingle, percent), shape)
     out = small.join(known, (F.col("n") == F.col("_a")) & (F.col("h1") == F.col("_b")) & (F.col("h2") == F.col("_c")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
