@@ -140,7 +140,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     later = places.join(firsts, F.col("w") == F.col("_w")).filter(place > F.col("first"))
     spans = later.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = materialise(spans.withColumnsRenamed({"d": "_d", "th": "_th"}), "spans")
-    both = own.withColumn("_key", key).withColumn("_h", F.xxhash64(body)).join(spans, (F.col("_key") == F.col("_d")) & (F.col("_h") == F.col("_th")) & body.isNotNull(), "left")
+    # one plan at every size: the spans grow with the documents
+    both = own.withColumn("_key", key).withColumn("_h", F.xxhash64(body)).join(spans.hint("merge"), (F.col("_key") == F.col("_d")) & (F.col("_h") == F.col("_th")) & body.isNotNull(), "left")
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), OUT])
     done = both.select(*inner, "spans").mapInArrow(_apply(text_at), shape)
     return done.select(*(F.col(a).alias(n) for n, a in zip(names, inner, strict=True)), "n_removed", "words_removed", "n_left")
