@@ -94,7 +94,7 @@ def t7_dates(spark, sf_dir):
     return _dated(spark, sf_dir).withColumn("d", D.parse_date(F.col("text"), "dmy")).filter("d is not null").select("o_orderkey", "text", "d.format", "d.year", "d.month", F.coalesce("d.day", F.lit(0)).alias("day"))
 
 
-T7_SQL = f"WITH {DATED_SQL} SELECT o_orderkey, text, ['iso', 'num', 'mon_year', 'mon_yy', 'name_year', 'name_day', 'day_name', NULL][1 + (o_orderkey % 8)::INT] AS format, year(od)::INT AS year, month(od)::INT AS month, CASE WHEN o_orderkey % 8 IN (0, 1, 5, 6) THEN day(od)::INT ELSE 0 END AS day FROM dat WHERE o_orderkey % 8 < 7"
+T7_SQL = f"WITH {DATED_SQL} SELECT o_orderkey, text, ['iso', 'num', 'mon_year', 'mon_yy', 'name_year', 'name_day', 'day_name', NULL][1 + (o_orderkey % 8)::INT] AS format, CASE WHEN o_orderkey % 8 = 3 THEN 2000 + year(od) % 100 ELSE year(od) END::INT AS year, month(od)::INT AS month, CASE WHEN o_orderkey % 8 IN (0, 1, 5, 6) THEN day(od)::INT ELSE 0 END AS day FROM dat WHERE o_orderkey % 8 < 7"
 SEED = 7
 
 

@@ -11,8 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskwright.functions.text import NEUTRAL, classify
 
-#: Channel difference that counts as a change, tries after a failed reading, and how long a silent canvas is remembered.
-CHANGED, RETRIES, FORGET_MS = 24, 3, 600_000
+#: Channel difference that counts as a change, and tries after a failed reading.
+CHANGED, RETRIES = 24, 3
 
 
 def changed_box(a: Column, b: Column, side: int, channels: int = 1, threshold: float = CHANGED) -> Column:
@@ -39,11 +39,12 @@ def pixel_delta(a: Column, b: Column) -> Column:
 WATCH = "canvas_id string, seq long, event string, x int, y int, w int, h int, tries int, hidden boolean"
 
 
-def watch_redraws(events: DataFrame, side: int) -> DataFrame:
+def watch_redraws(events: DataFrame, side: int, forget_ms: int | None = None) -> DataFrame:
     """State per canvas: what must be covered until it has been read.
 
     ``events``: canvas_id, seq, kind ("drawn", "read", "failed"), sig (array of numbers; drawn only). A change covers at
-    once, a reading uncovers, a failed one counts; after ``RETRIES`` failures the cover stays.
+    once, a reading uncovers, a failed one counts; after ``RETRIES`` failures the cover stays. A canvas silent for
+    ``forget_ms`` is forgotten (never by default: such a timeout keeps a run over what is there from ending).
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -70,10 +71,11 @@ def watch_redraws(events: DataFrame, side: int) -> DataFrame:
             b = [box[0], box[1], box[2] - box[0], box[3] - box[1]] if box else [0, 0, 0, 0]
             out.append((key[0], r.seq, r.kind, *b, tries, bool(box)))
         state.update((sig, box, tries))
-        state.setTimeoutDuration(FORGET_MS)
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in WATCH.split(", ")])
 
-    return events.groupBy("canvas_id").applyInPandasWithState(step, WATCH, "sig array<double>, box array<int>, tries int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("canvas_id").applyInPandasWithState(step, WATCH, "sig array<double>, box array<int>, tries int", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout)
 
 
 def latest_run(results: DataFrame, key: str = "canvas_id", seq: str = "seq", value: str = "value") -> DataFrame:
