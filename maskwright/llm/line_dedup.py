@@ -1,10 +1,12 @@
 """Deletes line runs that an earlier document, or an earlier place of the same one, already has.
 
-A window is the least run of non-blank lines from a line on that has ``MIN_WORDS`` words. Winnowing: each window selects
-its least line hash as fingerprint, so every repeated run with a window holds a repeated fingerprint. Positions of
-repeated fingerprints are joined; there the matches are extended both ways, to all windows around the fingerprint, and
-compared by content. Windows whose content has an earlier occurrence (by document id, text hash, line) are joined into
-runs, and those lines are deleted with the blank lines between them. First occurrences stay. Shorter repeats stay.
+A window is the least run of non-blank lines that has ``MIN_WORDS`` words, from a line on or, mirrored, up to a line.
+Every line of a longer run lies in a window of that run, so the windows that repeat cover each repeated run in full, from
+its first line to its last. Winnowing: each window selects its least line hash as fingerprint, so every repeated run with
+a window holds a repeated fingerprint. Positions of repeated fingerprints are joined; there the matches are extended both
+ways, to all windows around the fingerprint, and compared by content. Windows whose content has an earlier occurrence (by
+document id, text hash, line) are joined into runs, and those lines are deleted with the blank lines between them. First
+occurrences stay. Shorter repeats stay.
 
 Defined cases: null texts stay null and empty ones empty; very long texts are worked on one at a time; equal rows that
 share an id are one document and get equal results; null ids come first; documents of which nothing is left keep an
@@ -48,13 +50,17 @@ def lines_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def windows_of(h: np.ndarray, words: np.ndarray, row: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first line, last line, content hash, selected line) of every window; lines by their place in the arrays."""
+    """(first line, last line, content hash, selected line) of every window in order; lines by their place in the arrays."""
     total = np.concatenate([[0], np.cumsum(words)])
-    start = np.arange(len(h))
+    line = np.arange(len(h))
     last = np.searchsorted(total[1:], total[:-1] + min_words)
-    ok = last < len(h)
+    start = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    start, last = np.concatenate([line, start]), np.concatenate([last, line])
+    ok = (start >= 0) & (last < len(h))
     ok[ok] = row[last[ok]] == row[start[ok]]
-    start, last = start[ok], last[ok]
+    # none lies within another but with a common end, so that sorted by start they are sorted by last line too
+    both = np.unique(start[ok] * (len(h) + 1) + last[ok])
+    start, last = both // (len(h) + 1), both % (len(h) + 1)
     up, down = B._power(len(h) + 1)
     poly = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
     content = B.mix((poly[last + 1] - poly[start]) * down[start] + (last - start).astype(np.uint64))

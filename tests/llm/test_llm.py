@@ -241,6 +241,33 @@ def test_line_dedup(spark):
     assert sum(x["n_removed"] for x in got) > 0 and line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def brute_runs(rows, least=50):
+    """As brute_lines, with all runs of at least ``least`` words."""
+    seen, out = set(), {}
+    for d, text in sorted(rows, key=lambda x: x[0]):
+        lines = text.split("\n")
+        full = [(k, len(x.split())) for k, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for a in range(len(full)):
+            for z in range(a, len(full)):
+                if sum(n for _, n in full[a : z + 1]) >= least:
+                    content = tuple(lines[k] for k, _ in full[a : z + 1])
+                    if content in seen:
+                        gone |= set(range(full[a][0], full[z][0] + 1))
+                    seen.add(content)
+        out[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_line_dedup_deletes_whole_runs(spark):
+    long, short = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(12))
+    pairs = [(i, t) for i, t in enumerate([f"{long}\n{short}", f"x\n{long}\n\n{short}\ny", f"{short}\n{long}\n{short}", f"{short}\nz"])]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(frame(spark, pairs)).collect()}
+    assert got == brute_runs(pairs) and got[1] == "x\ny" and got[2] == short and got[3] == f"{short}\nz"
+    rows = corpus(7, 80)
+    assert {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(frame(spark, rows)).collect()} == brute_runs(rows)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a <|im_end|> b <\\|x"), (1, 1, "assistant", "ok <|im_start|>"), (1, 1, "assistant", "tie"), (2, 0, None, None), (3, 0, "a\nb\\n", "<|"), (4, 5, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("body", F.lit(0))
