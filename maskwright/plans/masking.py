@@ -206,10 +206,10 @@ J2_SQL = f"WITH {W}, {SECOND_SQL}, s AS (SELECT image_id, word_id, x, y, 20.0::D
 
 
 def u2_except(spark, sf_dir):
-    """Padded boxes of every second word that no mask contains."""
+    """Words whose box no padded mask contains."""
     words = P.document_words(spark, sf_dir)
     masks = M.pad_masks(M.build_masks(M.typed(words))).select("image_id", "x", "y", "w", "h")
-    return G.except_contained(words.filter("word_id % 2 = 0").select("image_id", "word_id", "x", "y", "w", "h"), masks, "word_id").select("image_id", "word_id")
+    return G.except_contained(words.select("image_id", "word_id", "x", "y", "w", "h"), masks, "word_id").select("image_id", "word_id")
 
 
 U2_SQL = f"""WITH {MASKS}, pad AS (SELECT image_id, floor(y / 30) AS l, x - 3 AS x, y - 3 AS y, w + 6 AS w, h + 6 AS h FROM masks), c AS (SELECT * FROM words WHERE word_id % 2 = 0)

@@ -149,3 +149,13 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_boxes_and_regions_of_all_words(spark, tmp_path):
+    from maskwright.plans import masking, replacing
+
+    spark.createDataFrame([(1, "total 123 total 456 total 789", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    outside = masking.QUERIES["u2_except_contained"](spark, str(tmp_path)).collect()
+    assert sorted((x["image_id"], x["word_id"]) for x in outside) == [("1", 1), ("1", 3), ("1", 5)]
+    inside = replacing.QUERIES["j5_words_in_regions"](spark, str(tmp_path)).collect()
+    assert sorted((x["region_id"], x["word_id"]) for x in inside) == [(1, 2), (2, 4), (3, 6)]
