@@ -2,14 +2,15 @@
 
 A page becomes a tree of block containers labelled by tag and class words; neighbouring siblings of one label fold into
 one node. The most common tree of a host is its wrapper, and every page is aligned with it by simple tree matching
-(the largest order-keeping match of equally labelled nodes). Over all pages of the host, an aligned slot whose text is
-constant is template; slots whose text varies are content. What HTML itself names as no content (menus, forms, adverts,
-comments and the like, by tag, role or class word) is template everywhere, and where a page has an article or a main
-part, only that is content.
+(the largest order-keeping match of equally labelled nodes). Over all distinct pages of the host, an aligned slot whose
+text is constant is template, also within an article; slots whose text varies are content. Pages with the same text in
+every slot have one vote, so that copies make nothing constant. What HTML itself names as no content (menus, forms,
+adverts, comments and the like, by tag, role or class word) is template everywhere, and where a page has an article or a
+main part, nothing else is content.
 
 Defined cases: null or empty html and pages without content give the empty text; very long pages are parsed whole;
 unclosed and truncated elements end where their parent or the page ends; repeated rows give equal results; a host with
-fewer than ``LEAST_PAGES`` pages has no constant slots; null urls are one host; an empty table gives an empty result;
+fewer than ``LEAST_PAGES`` distinct pages has no constant slots; null urls are one host; an empty table gives an empty result;
 extra columns are ignored.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import materialise, table
 
-#: Pages a slot must be on, and the share of distinct texts up to which it counts as constant.
+#: Distinct pages a slot must be on, and the share of distinct texts up to which it counts as constant.
 LEAST_PAGES, CONSTANT = 8, 0.2
 
 # HTML element kinds.
@@ -230,8 +231,7 @@ def content(node: Node, constant: set[str]) -> str:
     nodes = [n for n in _leaves(node) if n.blocks and not n.skip]
     if any(n.main for n in nodes):
         nodes = [n for n in nodes if n.main]
-    else:
-        nodes = [n for n in nodes if n.slot not in constant]
+    nodes = [n for n in nodes if n.slot not in constant]
     return " ".join(t for _, t in sorted(b for n in nodes for b in n.blocks))
 
 
@@ -255,8 +255,10 @@ def _slot_texts(batches):
     for batch in batches:
         rows = []
         for host, text, tree in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            rows += [(host, k, xxhash.xxh64_intdigest(v) - (1 << 63)) for k, v in slots(_aligned(text, tree, wrappers)).items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "slot", "h"])
+            found = {k: xxhash.xxh64_intdigest(v) - (1 << 63) for k, v in slots(_aligned(text, tree, wrappers)).items()}
+            page = xxhash.xxh64_intdigest(repr(sorted(found.items()))) - (1 << 63)
+            rows += [(host, k, h, page) for k, h in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "slot", "h", "page"])
 
 
 def _extract(batches):
@@ -271,11 +273,11 @@ def host_of(url):
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, tree, constant): per host its most common tree, and the slots whose text is constant."""
+    """(host, tree, constant): per host its most common tree, and the slots whose text is constant over distinct pages."""
     trees = pages.select("host", "html").mapInArrow(_skeletons, "host string, tree string").groupBy("host", "tree").agg(F.count("*").alias("n"))
     best = trees.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("tree"))
     best = materialise(best.withColumnRenamed("host", "_h"), "trees")
-    texts = pages.join(best, F.col("host") == F.col("_h")).select("host", "html", "tree").mapInArrow(_slot_texts, "host string, slot string, h long")
+    texts = pages.join(best, F.col("host") == F.col("_h")).select("host", "html", "tree").mapInArrow(_slot_texts, "host string, slot string, h long, page long").distinct()
     texts = texts.groupBy("host", "slot", "h").agg(F.count("*").alias("n"))
     slot = texts.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds"))
     constant = slot.filter((F.col("pages") >= LEAST_PAGES) & (F.col("kinds") <= F.col("pages") * CONSTANT))

@@ -172,6 +172,15 @@ def test_html(spark):
     assert all(n == len(t) for _, t, n in got)
 
 
+def test_wrapper_decides_in_articles_and_under_copies(spark):
+    article = "<body><article><div class=bar>Read us daily</div><p>Story {0} is told</p></article>"
+    rows = [(i, f"http://a.example/{i}", article.format(i)) for i in range(12)]
+    rows += [(100 + i, f"http://b.example/{i}", PLAIN.format(max(0, i - 44))) for i in range(55)]  # 45 copies
+    got = {x["page_id"]: x["text"] for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} is told" for i in range(12))
+    assert all(got[100 + i] == f"Story {max(0, i - 44)} is told" for i in range(55))
+
+
 def sets_of(text, k):
     w = words(text, r"[^\x20\x09-\x0D]+")
     return {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set()
