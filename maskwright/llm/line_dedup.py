@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import bytes_np as B
-from maskwright.llm.common import materialise, table
+from maskwright.llm.common import materialise, table, tidy
 
 MIN_WORDS = 50
 _NULL_ID = -(1 << 62)
@@ -81,7 +81,7 @@ def _fingerprints(min_words: int):
         for batch in batches:
             data, off = B.buffers(batch.column(2))
             d, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for i, j in B.runs(off, 4 << 20):
+            for i, j in B.runs(off):
                 h, words, row, number = lines_of(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 start, last, content, best = windows_of(h, words, row, min_words)
                 if not len(start):
@@ -137,7 +137,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     text_at = names.index(text)
     key, body = F.coalesce(F.col(inner[names.index(doc_id)]).cast("long"), F.lit(_NULL_ID)), F.col(inner[text_at])
     named = own.filter(body.isNotNull()).select(key.alias("d"), F.xxhash64(body).alias("th"), body.alias("t"))
-    prints = materialise(named.mapInArrow(_fingerprints(min_words), "f long, d long, th long, s array<int>, e array<int>, w array<long>"), "prints")
+    prints = materialise(named.mapInArrow(tidy(_fingerprints(min_words)), "f long, d long, th long, s array<int>, e array<int>, w array<long>"), "prints")
     again = materialise(prints.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("f").alias("_f")), "again")
     places = prints.join(again, F.col("f") == F.col("_f")).select("d", "th", F.explode(F.arrays_zip("s", "e", "w")).alias("x")).select("d", "th", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.w").alias("w"))
     places = materialise(places, "places")
@@ -149,7 +149,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     # one plan at every size: the spans grow with the documents
     both = own.withColumn("_key", key).withColumn("_h", F.xxhash64(body)).join(spans.hint("merge"), (F.col("_key") == F.col("_d")) & (F.col("_h") == F.col("_th")) & body.isNotNull(), "left")
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), OUT])
-    done = both.select(*inner, "spans").mapInArrow(_apply(text_at), shape)
+    done = both.select(*inner, "spans").mapInArrow(tidy(_apply(text_at)), shape)
     return done.select(*(F.col(a).alias(n) for n, a in zip(names, inner, strict=True)), "n_removed", "words_removed", "n_left")
 
 
@@ -158,15 +158,18 @@ def op6_query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("text").alias("kept_text"), "n_removed", "words_removed")
 
 
+#: Repeated runs of 50 or more words are covered by the least windows from a line on and, mirrored, up to a line.
 OP6_SQL = r"""
 WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 ln AS (SELECT doc_id, i, l[i] AS line, len(regexp_extract_all(l[i], '[^\x20\x09-\x0D]+')) AS n FROM raw, unnest(range(1, len(l) + 1)) AS r(i)),
 full_ln AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM ln WHERE n > 0),
 per AS (SELECT doc_id, list(line ORDER BY k) AS lines, list(i ORDER BY k) AS nos, list(c ORDER BY k) AS cs FROM full_ln GROUP BY doc_id),
-st AS (SELECT f.doc_id, f.k AS a, f.c - f.n + 50 AS need, per.lines, per.nos, per.cs FROM full_ln f JOIN per USING (doc_id)),
-w AS (SELECT doc_id, a, lines, nos, len(list_filter(cs, lambda x: x < need)) + 1 AS z, len(cs) AS m FROM st),
-win AS (SELECT doc_id, nos[a] AS s, nos[z] AS e, array_to_string(lines[a:z], chr(10)) AS content FROM w WHERE z <= m),
-later AS (SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS o FROM win) WHERE o > 1),
+ends AS (
+  SELECT f.doc_id, f.k AS a, len(list_filter(per.cs, lambda x: x < f.c - f.n + 50)) + 1 AS z FROM full_ln f JOIN per USING (doc_id)
+  UNION SELECT f.doc_id, len(list_filter(per.cs, lambda x: x <= f.c - 50)) + 1 AS a, f.k AS z FROM full_ln f JOIN per USING (doc_id) WHERE f.c >= 50
+),
+win AS (SELECT doc_id, nos[a] AS s, nos[z] AS e, array_to_string(lines[a:z], chr(10)) AS content FROM ends JOIN per USING (doc_id) WHERE z <= len(cs)),
+later AS (SELECT doc_id, s, e FROM (SELECT *, rank() OVER (PARTITION BY content ORDER BY doc_id, s) AS o FROM win) WHERE o > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM later),
 kept AS (
   SELECT ln.doc_id, string_agg(line, chr(10) ORDER BY ln.i) FILTER (WHERE gone.i IS NULL) AS kept_text,

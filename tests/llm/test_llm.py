@@ -220,7 +220,8 @@ def test_pigeonhole_never_misses():
         assert a == b or keys[0] & keys[1]
 
 
-def brute_lines(rows, least=50):
+def brute_runs(rows, least=50):
+    """Deletes all runs of lines with at least ``least`` words that occur earlier."""
     seen, out = set(), {}
     for d, text in sorted((x for x in rows if x[1] is not None), key=lambda x: x[0]):
         lines = text.split("\n")
@@ -228,16 +229,12 @@ def brute_lines(rows, least=50):
         full = [x for x in full if x[1]]
         gone = set()
         for a in range(len(full)):
-            z, n = a, 0
-            while z < len(full) and n < least:
-                n += full[z][1]
-                z += 1
-            if n < least:
-                break
-            content = tuple(lines[k] for k, _ in full[a:z])
-            if content in seen:
-                gone |= set(range(full[a][0], full[z - 1][0] + 1))
-            seen.add(content)
+            for z in range(a, len(full)):
+                if sum(n for _, n in full[a : z + 1]) >= least:
+                    content = tuple(lines[k] for k, _ in full[a : z + 1])
+                    if content in seen:
+                        gone |= set(range(full[a][0], full[z][0] + 1))
+                    seen.add(content)
         out[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
@@ -245,29 +242,11 @@ def brute_lines(rows, least=50):
 def test_line_dedup(spark):
     rows = corpus(7, 80) + EDGE[:5]
     got = line_dedup.dedup_lines(frame(spark, rows).withColumn("spans", F.lit("s"))).collect()
-    want = brute_lines(rows)
+    want = brute_runs(rows)
     assert {x["doc_id"]: x["text"] for x in got} == {**want, 900: None} and {x["spans"] for x in got} == {"s"}
     assert sum(x["n_removed"] for x in got) > 0 and line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
-def brute_runs(rows, least=50):
-    """As brute_lines, with all runs of at least ``least`` words."""
-    seen, out = set(), {}
-    for d, text in sorted(rows, key=lambda x: x[0]):
-        lines = text.split("\n")
-        full = [(k, len(x.split())) for k, x in enumerate(lines) if x.strip()]
-        gone = set()
-        for a in range(len(full)):
-            for z in range(a, len(full)):
-                if sum(n for _, n in full[a : z + 1]) >= least:
-                    content = tuple(lines[k] for k, _ in full[a : z + 1])
-                    if content in seen:
-                        gone |= set(range(full[a][0], full[z][0] + 1))
-                    seen.add(content)
-        out[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    return out
-
-
 def test_line_dedup_deletes_whole_runs(spark):
     long, short = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(12))
     pairs = [(i, t) for i, t in enumerate([f"{long}\n{short}", f"x\n{long}\n\n{short}\ny", f"{short}\n{long}\n{short}", f"{short}\nz"])]
@@ -396,7 +375,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, " ".join(rows[3][1].split()[:12]))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     docs = {r[0]: r[1] for r in rows}  # all are identified
-    left = {i: t for i, t in brute_lines(list(docs.items())).items() if t.strip()}
+    left = {i: t for i, t in brute_runs(list(docs.items())).items() if t.strip()}
     s = {i: sets_of(t, 5) for i, t in left.items()}
     comp = brute_components(s, [(a, b) for a in s for b in s if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])])
     one = {i: t for i, t in left.items() if comp[i] == i}
