@@ -13,7 +13,6 @@ in row order; repeated rows are packed again; an empty table gives an empty tabl
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -23,23 +22,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import bytes_np as B
-from maskwright.llm.common import table
+from maskwright.llm.common import table, tidy
 
 WINDOW, END_ID = 2048, 1
 #: Remainders that are packed together at most; bounds a task's memory.
 GROUP = 50_000
-#: Characters that are tokenized at once, and distinct words whose ids are kept by a worker.
-CHUNK_CHARS, CACHE_WORDS = 1_000_000, 200_000
+#: Bytes of text that are tokenized at once, and of finished ids that a group holds at most.
+CHUNK_BYTES, GROUP_BYTES = 2 << 20, 24 << 20
+#: Pieces whose ids a worker keeps, and the bytes of one at most: longer ones are tokenized each time.
+CACHE_PIECES, PIECE_BYTES = 400_000, 64
 
-_SPACE_LEFT = re.compile(r"\s ")
 _state: dict = {}
 
+#: Added to the uses of a piece that the chunk at hand needs.
+_IN_USE = 1 << 40
+
+_LETTER = B._byte_set((65, 90), (97, 122))
+_PUNCTUATION = B._byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+_BLANK = B._byte_set((9, 13), (32, 32))
+
+
+def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Begins of the pieces of one run of texts: places where the byte-level pre-tokenizer begins a new word in any case.
+
+    Those are white space after a byte that is surely none, and ASCII punctuation right after an ASCII letter. What comes
+    after a run of white space is not cut from it, for the run's last blank may belong to the next word.
+    """
+    new = np.zeros(len(data), bool)
+    new[off[:-1][off[:-1] < len(data)]] = True
+    before, now = data[:-1], data[1:]
+    # the last byte of a longer character is taken for white space if any Unicode white space could end like this
+    dark = (before > 32) & (before < 127)
+    wide = before >= 128
+    two = np.zeros(len(before), np.uint8)
+    two[1:] = data[:-2]
+    three = np.zeros(len(before), np.uint8)
+    three[2:] = data[:-3]
+    dark |= wide & ~((two == 0xC2) | (three == 0xE1) | (three == 0xE2) | (three == 0xE3))
+    new[1:] |= (_BLANK[now] & dark) | (_PUNCTUATION[now] & _LETTER[before])
+    return np.flatnonzero(new)
+
 
 class Words:
-    """Ids of texts by a byte-level tokenizer whose pre-tokenizer starts a new word at a blank before a non-blank.
+    """Ids of texts by a byte-level tokenizer, each distinct piece (see ``cuts``) tokenized once while it is remembered.
 
-    A text without white space before a blank falls into independent pieces at its blanks, so each distinct piece is
-    tokenized once. Other texts are tokenized whole.
+    Pieces are known by a 64-bit hash and their ids kept in one flat array; the least used half is forgotten when
+    ``CACHE_PIECES`` are held.
     """
 
     def __init__(self, path: str):
@@ -49,56 +77,87 @@ class Words:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         #: Tokens that begin with a blank (byte-level alphabets write it as U+0120).
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True
+        self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros((0, 3), np.int64)  # begin and number of ids, uses
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        pieces, odd, new = [], [], {}
-        for i, t in enumerate(texts):
-            if not t:
-                pieces.append([])
-            elif t[0] == " " or _SPACE_LEFT.search(t):
-                odd.append(i)
-                pieces.append([])
-            else:
-                # a piece but the first stands for itself with the blank before it
-                own = t.split(" ")
-                own[0] = "\0" + own[0]
-                pieces.append(own)
-                new.update(dict.fromkeys(own))
-        if len(self.known) > CACHE_WORDS:
-            # two generations: words that were not used since the last turn are forgotten
-            self.older, self.known = self.known, {}
-        for w in new.keys() & self.older.keys():
-            self.known[w] = self.older[w]
-        fresh = [w for w in new if w not in self.known]
-        plain = [w for w in fresh if w[:1] != "\0" and w and not w[-1].isspace()]
-        for a in range(0, len(plain), 8192):
-            # all pieces as one text: each begins with the only token that has its blank
-            part = plain[a : a + 8192]
-            ids = self.encode([" " + " ".join(part)])[0]
-            begin = np.append(np.flatnonzero(self.blank[ids]), len(ids)) * 4
-            raw = ids.tobytes()
-            for w, x, y in zip(part, begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                self.known[w] = raw[x:y]
-        other = [w for w in fresh if w[:1] == "\0" or not w or w[-1].isspace()]
-        for w, ids in zip(other, self.encode([w[1:] if w[:1] == "\0" else " " + w for w in other]), strict=True):
-            self.known[w] = ids.tobytes()
-        get = self.known.__getitem__
-        for i, own in enumerate(pieces):
-            out[i] = b"".join(map(get, own))
-        for i in odd:
-            out[i] = self.encode([texts[i]])[0].tobytes()
-        return out
+    def fresh(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of pieces, each tokenized alone; where each piece's begin there; how many they are)."""
+        flat, begin, size, used = [], np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), 0
+        # pieces that are a blank and a word in one text: each begins with the only token that has its blank
+        joint = [p[:1] == b" " and len(p) > 1 and len(p.split()) == 1 and p[1:2] > b" " and p[-1:] > b" " and p.isascii() for p in pieces]
+        together = np.flatnonzero(joint)
+        for a in range(0, len(together), 8192):
+            part = together[a : a + 8192]
+            ids = self.encode([b"".join([pieces[i] for i in part.tolist()]).decode()])[0]
+            first = np.flatnonzero(self.blank[ids])
+            begin[part], size[part] = used + first, np.diff(np.append(first, len(ids)))
+            flat.append(ids)
+            used += len(ids)
+        for i, x in zip(alone := np.flatnonzero(~np.array(joint, bool)).tolist(), self.encode([pieces[i].decode() for i in alone]), strict=True):
+            begin[i], size[i] = used, len(x)
+            flat.append(x)
+            used += len(x)
+        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), begin, size
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        if len(self.keys) + len(keys) > CACHE_PIECES:
+            wanted = int((self.at[:, 2] >= _IN_USE).sum())
+            stay = np.sort(np.argsort(-self.at[:, 2], kind="stable")[: max(wanted, CACHE_PIECES // 2 - len(keys))])
+            size = self.at[stay, 1]
+            ends = np.cumsum(size)
+            self.flat = self.flat[np.repeat(self.at[stay, 0] - (ends - size), size) + np.arange(size.sum())]
+            self.keys, self.used = self.keys[stay], len(self.flat)
+            self.at = np.stack([ends - size, size, self.at[stay, 2]], 1)
+        flat, begin, size = self.fresh(pieces)
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used // 2 + len(flat), np.uint32)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.at = np.insert(self.at, place, np.stack([self.used + begin, size, np.zeros(len(size), np.int64)], 1), 0)
+        self.used += len(flat)
+
+    def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(32-bit ids of all texts, one after the other; where each text's begin, rows + 1)."""
+        begin = cuts(data, off)
+        end = np.append(begin[1:], len(data))
+        row = np.searchsorted(off, begin, "right") - 1
+        key = np.empty(len(begin), np.uint64)
+        for a, z in B.runs(np.append(begin, len(data))):  # hashes are made of bounded runs
+            x, y = int(begin[a]), int(end[z - 1])
+            key[a:z] = B.span_hashes(data[x:y], begin[a:z] - x, end[a:z] - x)
+        long = np.flatnonzero(end - begin > PIECE_BYTES)
+        short = np.ones(len(begin), bool)
+        short[long] = False
+        unique, first, of, uses = np.unique(key[short], return_index=True, return_inverse=True, return_counts=True)
+        place = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[place] != unique) if len(self.keys) else np.arange(len(unique))
+        raw = data.tobytes()
+        if len(new):
+            which = np.flatnonzero(short)[first[new]]
+            # what is known of this chunk must survive the learning
+            self.at[place[np.setdiff1d(np.arange(len(unique)), new)], 2] += _IN_USE
+            self._learn(unique[new], [raw[x:y] for x, y in zip(begin[which].tolist(), end[which].tolist(), strict=True)])
+            self.at[:, 2] %= _IN_USE
+            place = np.searchsorted(self.keys, unique)
+        self.at[place, 2] += uses
+        start, size = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        start[short], size[short] = self.at[place, 0][of], self.at[place, 1][of]
+        whole = self.encode([raw[x:y].decode("utf-8") for x, y in zip(begin[long].tolist(), end[long].tolist(), strict=True)]) if len(long) else []
+        size[long] = [len(x) for x in whole]
+        ends = np.cumsum(size)
+        out = self.flat[np.minimum(np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0), len(self.flat) - 1)]
+        for i, x in zip(long.tolist(), whole, strict=True):
+            out[ends[i] - size[i] : ends[i]] = x
+        return out, np.concatenate([[0], ends])[np.searchsorted(row, np.arange(len(off)))]
 
 
 class Room:
@@ -188,9 +247,9 @@ def _pack_batches(path: str, window: int, end_id: int, with_ids: bool, key_type)
     def go(batches):
         if _state.get("path") != path:
             _state.update(path=path, words=Words(path))
-        words, end = _state["words"], np.array([end_id], np.uint32).tobytes()
+        words = _state["words"]
         base, used = TaskContext.get().partitionId() << 36, 0
-        keys, tokens = [], []
+        keys, tokens, held = [], [], 0  # a document's ids are a view of its chunk's bytes
 
         def flush():
             nonlocal used
@@ -204,28 +263,24 @@ def _pack_batches(path: str, window: int, end_id: int, with_ids: bool, key_type)
                     pa.array([base + used + p[3] for p in part], pa.int64()), pa.array([p[4] for p in part], pa.int64()),
                 ]
                 if with_ids:
-                    cols.append(pa.array([np.frombuffer(c, np.uint32).astype(np.int32) for c in cut], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *(len(c) // 4 for c in cut)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(cut), np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
             used += 1 + max((p[3] for p in found), default=-1)
             keys.clear()
             tokens.clear()
 
-        held = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            sizes = np.diff(B.buffers(texts)[1])
-            a = 0
-            while a < len(ids):
-                z, chars = a, 0
-                while z < len(ids) and (z == a or chars + sizes[z] <= CHUNK_CHARS):
-                    chars += sizes[z]
-                    z += 1
-                for key, t in zip(ids[a:z], words.ids([x or "" for x in texts[a:z].to_pylist()]), strict=True):
-                    keys.append(key)
-                    tokens.append(t + end)
-                    held += len(t)
-                a = z
-                if len(keys) >= GROUP or held > 96 << 20:
+            ids = batch.column(0).to_pylist()
+            data, off = B.buffers(batch.column(1))
+            for a, z in B.runs(off, CHUNK_BYTES):
+                got, begin = words.ids(data[off[a] : off[z]], off[a : z + 1] - off[a])
+                raw = memoryview(np.insert(got, begin[1:], np.uint32(end_id)).astype("<u4", copy=False).tobytes())
+                begin = ((begin + np.arange(len(begin))) * 4).tolist()
+                keys += ids[a:z]
+                tokens += [raw[x:y] for x, y in zip(begin, begin[1:], strict=False)]
+                held += len(raw)
+                if len(keys) >= GROUP or held > GROUP_BYTES:
                     yield from flush()
                     held = 0
         yield from flush()
@@ -240,7 +295,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = own.schema["doc_id"].dataType
     out = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return own.mapInArrow(_pack_batches(tokenizer_path, window, end_id, with_ids, to_arrow_type(kind)), out)
+    return own.mapInArrow(tidy(_pack_batches(tokenizer_path, window, end_id, with_ids, to_arrow_type(kind))), out)
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
