@@ -37,12 +37,17 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) <= n:
-        size = max(n + 1, RUN_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INV)):
-            steps = np.full(size, base)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
+    """Powers of the base and of its inverse; those of one run are kept, those of a longer text are made for it alone."""
+
+    def made(size: int, base: np.uint64) -> np.ndarray:
+        steps = np.full(size, base)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
+
+    if n > RUN_BYTES:
+        return made(n + 1, _BASE), made(n + 1, _INV)
+    if not _powers:
+        _powers.update(up=made(RUN_BYTES + 1, _BASE), down=made(RUN_BYTES + 1, _INV))
     return _powers["up"], _powers["down"]
 
 

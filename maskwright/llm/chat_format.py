@@ -1,8 +1,8 @@
 """Chat formatting with typed content parts, in DataFrame functions only.
 
 A turn's content is an ordered array of typed parts. ``flatten_parts`` visits them: text parts become their (escaped)
-text; image, audio and document parts become one numbered placeholder each, recorded with reference and expanded token
-count. ``format_turns`` wraps a turn into the template, ``assemble`` joins the turns of a conversation and marks which
+text; image, audio and document parts become one placeholder each, recorded in order with turn, reference and expanded
+token count. ``format_turns`` wraps a turn into the template, ``assemble`` joins the turns of a conversation and marks which
 characters carry loss, ``read_back`` parses the formatted string again.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Control strings inside texts are escaped reversibly:
@@ -15,7 +15,7 @@ empty table, other columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import table
@@ -74,9 +74,13 @@ def flatten_parts(parts: Column) -> tuple[Column, Column]:
     """(escaped text with placeholders, attachments): the visitor over one turn's parts, in order."""
     kept = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
     media = F.filter(F.transform(kept, lambda p, i: F.struct(i.alias("at"), kind_of(p).alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"))), lambda a: a["kind"] != "text")
-    mark = lambda p: F.concat(F.lit("<|"), kind_of(p), F.lit("|>"))
-    pieces = F.transform(kept, lambda p: F.when(kind_of(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(mark(p)))
-    return F.array_join(pieces, ""), media
+    # neighbouring texts are joined before they are escaped: no control string may arise where two of them meet
+    media_at = F.transform(media, lambda a: a["at"])
+    bounds = F.concat(F.array(F.lit(-1)), media_at, F.array(F.size(kept)))
+    said = lambda a, z: F.array_join(F.transform(F.slice(kept, a + 2, z - a - 1), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    mark = lambda k: F.when(k < 0, "").otherwise(F.concat(F.lit("<|"), kind_of(F.get(kept, k)), F.lit("|>")))
+    runs = F.transform(F.sequence(F.lit(0), F.size(media_at)), lambda k: F.concat(mark(F.get(bounds, k)), escape(said(F.get(bounds, k), F.get(bounds, k + 1)))))
+    return F.array_join(runs, ""), media
 
 
 def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None) -> DataFrame:
@@ -92,24 +96,22 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 def assemble(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: ``formatted``, ``loss_spans`` (start and length in code points) and ``attachments``."""
-    row = F.struct("turn", "role", "body", "head", "attachments")
-    ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("t"))
-    lengths = F.transform(F.col("t"), lambda x: (F.length(x["head"]) + F.length(x["body"]) + len(END) + 1).cast("long"))
-    # running starts as one fold: the array of starts and the end so far
-    starts = F.aggregate(
-        F.col("len"), F.struct(F.array().cast("array<bigint>").alias("s"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, n: F.struct(F.concat(acc["s"], F.array(acc["at"])).alias("s"), (acc["at"] + n).alias("at")),
-    )["s"]
+    size = F.length("head") + F.length("body") + F.lit(len(END) + 1)
+    # a turn's start is the length of what comes before it; starts differ, so they also keep the turns' order
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "body", "head", "attachments").rowsBetween(Window.unboundedPreceding, -1)
+    placed = turns.withColumn("at", F.coalesce(F.sum(size.cast("long")).over(before), F.lit(0).cast("long")))
+    ordered = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "turn", "role", "body", "head", "attachments"))).alias("t"))
     spans = F.transform(
-        F.filter(F.arrays_zip("t", "s"), lambda x: x["t"]["role"].isin(*loss_roles)),
-        lambda x: F.struct((x["s"] + F.length(x["t"]["head"])).alias("start"), F.length(x["t"]["body"]).cast("long").alias("length")),
+        F.filter("t", lambda x: x["role"].isin(*loss_roles)),
+        lambda x: F.struct((x["at"] + F.length(x["head"])).alias("start"), F.length(x["body"]).cast("long").alias("length")),
     )
-    return ordered.withColumn("len", lengths).withColumn("s", starts).select(
+    media = lambda x: F.transform(x["attachments"], lambda a: F.struct(x["turn"].alias("turn"), *(a[c].alias(c) for c in ("at", "kind", "ref", "tokens"))))
+    return ordered.select(
         "conv_id",
         F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(END + "\n"))), "").alias("formatted"),
         spans.alias("loss_spans"),
-        F.flatten(F.transform("t", lambda x: x["attachments"])).alias("attachments"),
-    )
+        F.flatten(F.transform("t", media)).alias("attachments"),
+    )
 
 
 def format_chats(df: DataFrame, parts: str | None = None, **names: str) -> DataFrame:

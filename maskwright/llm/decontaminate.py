@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import bytes_np as B
-from maskwright.llm.common import materialise, table
+from maskwright.llm.common import materialise, table, tidy
 
 #: Words of a window.
 WINDOW = 10
@@ -45,20 +45,20 @@ def index_items(ids: list, texts: pa.Array) -> dict:
     data, offsets = B.buffers(texts)
     h, before = word_hashes(data, offsets)
     vocab, code = np.unique(h, return_inverse=True)
-    rows, owner, place = [], [], []
-    for i in range(len(ids)):
-        w = code[before[i] : before[i + 1]]
-        for q in range(max(len(w) - WINDOW + 1, 1 if len(w) else 0)):
-            rows.append(np.pad(w[q : q + WINDOW], (0, WINDOW - len(w[q : q + WINDOW])), constant_values=-1))
-            owner.append(i)
-            place.append(q)
-    if not rows:
+    n = np.diff(before)
+    count = np.where(n > WINDOW, n - WINDOW + 1, (n > 0).astype(np.int64))
+    if not count.sum():
         return {"vocab": vocab, "windows": np.zeros((0, WINDOW), np.int64)}
-    windows, cls = np.unique(np.array(rows), axis=0, return_inverse=True)
+    owner = np.repeat(np.arange(len(ids)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    at = (before[:-1][owner] + place)[:, None] + np.arange(WINDOW)
+    rows = np.where(np.arange(WINDOW) < n[owner][:, None], code[np.minimum(at, len(code) - 1)], -1)
+    windows, cls = np.unique(rows, axis=0, return_inverse=True)
+    cls = cls.ravel()
     order = np.argsort(cls, kind="stable")
     return {
         "vocab": vocab, "windows": windows, "length": (windows >= 0).sum(1), "ids": np.array([str(x) for x in ids], object),
-        "of": np.array(owner)[order], "place": np.array(place)[order], "first": np.searchsorted(cls[order], np.arange(len(windows) + 1)),
+        "of": owner[order], "place": place[order], "first": np.searchsorted(cls[order], np.arange(len(windows) + 1)),
     }
 
 
@@ -88,7 +88,7 @@ def search(keys: np.ndarray, windows: np.ndarray, length: np.ndarray) -> tuple[n
 
 
 def hits_of_run(data: np.ndarray, offsets: np.ndarray, index: dict) -> tuple[np.ndarray, dict[int, tuple]]:
-    """Words per row, and for each row with hits: (covered word positions, {item number: longest match in words})."""
+    """Words per row, and for each row with hits: (covered word positions, {item number: (words of the longest match, minus its place)})."""
     h, before = word_hashes(data, offsets)
     n_words, found = np.diff(before), {}
     if not len(h) or not len(index["windows"]):
@@ -104,9 +104,7 @@ def hits_of_run(data: np.ndarray, offsets: np.ndarray, index: dict) -> tuple[np.
     starts = np.flatnonzero(known >= least)
     if not len(starts):
         return n_words, found
-    padded_codes = codes.copy()
-    keys_known = known[starts]
-    sa, keys = suffix_array(padded_codes, starts)
+    sa, keys = suffix_array(codes, starts)
     lo, hi = search(keys, index["windows"], index["length"])
     count = hi - lo
     win = np.repeat(np.arange(len(count)), count)
@@ -131,14 +129,13 @@ def hits_of_run(data: np.ndarray, offsets: np.ndarray, index: dict) -> tuple[np.
     new[1:] = (rows[1:] != rows[:-1]) | (item[1:] != item[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)
     head = np.flatnonzero(new)
     longest = np.diff(np.append(head, len(p))) - 1 + size[head]
-    for r, i, n in zip(rows[head].tolist(), item[head].tolist(), longest.tolist(), strict=True):
+    for r, i, n, at in zip(rows[head].tolist(), item[head].tolist(), longest.tolist(), (p[head] - before[rows[head]]).tolist(), strict=True):
         items = found.setdefault(r, (np.flatnonzero(covered[before[r] : before[r + 1]]), {}))[1]
-        items[i] = max(items.get(i, 0), n)
-    del keys_known
+        items[i] = max(items.get(i, (0, 0)), (n, -at))  # the first of equally long ones
     return n_words, found
 
 
-OUT = "n_words long, hit binary, items array<struct<item_id:string,longest:long>>"
+OUT = "n_words long, hit binary, items array<struct<item_id:string,longest:long,at:long>>"
 
 
 def _search_batches(column: str, index, schema):
@@ -153,9 +150,9 @@ def _search_batches(column: str, index, schema):
                 for r in range(j - i):
                     where, of = found.get(r, (None, {}))
                     hit.append(where.astype(np.int32).tobytes() if where is not None else b"")
-                    items.append([{"item_id": known["ids"][k], "longest": v} for k, v in of.items()])
+                    items.append([{"item_id": known["ids"][k], "longest": n, "at": -at} for k, (n, at) in of.items()])
             words = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-            own = [pa.array(words, pa.int64()), pa.array(hit, pa.binary()), pa.array(items, pa.list_(pa.struct([("item_id", pa.string()), ("longest", pa.int64())])))]
+            own = [pa.array(words, pa.int64()), pa.array(hit, pa.binary()), pa.array(items, pa.list_(pa.struct([("item_id", pa.string()), ("longest", pa.int64()), ("at", pa.int64())])))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "_own"), *own], names=[*(n for n in batch.schema.names if n != "_own"), "n_words", "hit", "items"])
 
     return go
@@ -173,7 +170,7 @@ def blocks_of(bench: DataFrame, item_id: str, text: str):
 
 
 def find_matches(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row of ``docs``: the columns ``keep``, n_words, n_hit and items (item_id, longest verbatim match in words)."""
+    """Per row of ``docs``: the columns ``keep``, n_words, n_hit and items (item_id, words of the longest verbatim match, the word it is at)."""
     spark = docs.sparkSession
     inner = [f"_k{i}" for i in range(len(keep))]
     now = docs.select(*(F.col(f"`{k}`").alias(a) for k, a in zip(keep, inner, strict=True)), F.col(f"`{text}`").alias("_text"))
@@ -184,12 +181,12 @@ def find_matches(docs: DataFrame, bench: DataFrame, text: str = "text", item_id:
             kept = [*inner, "_text"] if not last else inner
             source, first = now.select(*inner, "_text"), False
             out = ", ".join([*(f"`{c}` {base[c].dataType.simpleString()}" for c in [*inner, "_text"]), OUT])
-            found = source.mapInArrow(_search_batches("_text", index, out), out).select(*kept, "n_words", "hit", "items")
+            found = source.mapInArrow(tidy(_search_batches("_text", index, out)), out).select(*kept, "n_words", "hit", "items")
         else:
             # a further block: the earlier hits travel under other names and are merged after the search
             moved = materialise(found.withColumnsRenamed({"hit": "hit0", "items": "items0"}).drop("n_words"), "blocks")
             out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in moved.schema), OUT])
-            found = moved.mapInArrow(_search_batches("_text", index, out), out)
+            found = moved.mapInArrow(tidy(_search_batches("_text", index, out)), out)
             found = found.withColumn("hit", F.concat("hit0", "hit")).withColumn("items", F.concat("items0", "items")).drop("hit0", "items0")
             found = found.drop("_text") if last else found
     # positions are 4 bytes each; more than one block may cover a word twice
@@ -200,8 +197,9 @@ def find_matches(docs: DataFrame, bench: DataFrame, text: str = "text", item_id:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", **names: str) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark; all columns as they were."""
-    found = find_matches(docs, bench, text=text, keep=tuple(docs.columns), **names)
-    return found.filter("n_hit = 0").select(*(f"`{c}`" for c in docs.columns))
+    plain = [f"_c{i}" for i in range(len(docs.columns))]  # so that no name clashes with the figures
+    found = find_matches(docs.toDF(*plain), bench, text=plain[docs.columns.index(text)], keep=tuple(plain), **names)
+    return found.filter("n_hit = 0").select(*plain).toDF(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

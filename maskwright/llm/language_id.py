@@ -1,12 +1,14 @@
 """Language identification with interpolated Kneser-Ney character models in sorted hash arrays.
 
 Texts are lower-cased and reduced to letters and single blanks. Per language, continuation counts of character n-grams up
-to ``ORDER`` are gathered by a Spark aggregation over a bounded sample of labelled rows (``SAMPLE_CHARS`` characters a
-language, chosen by a hash of the text; the only bound). The interpolated probabilities of all n-grams of the highest
+to ``ORDER`` are gathered by a Spark aggregation over a bounded sample of labelled text: rows are cut into pieces of
+``PIECE_CHARS``, and of each language's distinct pieces about ``SAMPLE_CHARS`` characters are chosen by a hash (the only
+bound), so that neither one long document nor a group of copies can be all or nothing of a language. The interpolated probabilities of all n-grams of the highest
 order, and the back-off weights and probabilities of the lower ones, are kept for all languages in one sorted array of
 64-bit n-gram hashes per order. A text gets the language of the lowest cross-entropy per character.
 
-Rejection is calibrated on the sampled rows: a text is rejected when its cross-entropy exceeds its language's mean by
+Rejection is calibrated on a tenth of the chosen pieces, which is not learned from (languages of fewer than
+``FEW_PIECES`` pieces learn from and are measured on all): a text is rejected when its cross-entropy exceeds its language's mean by
 ``REJECT_NATS`` plus ``REJECT_Z`` standard errors for its length, or when it has no letter.
 
 Defined cases: null or empty texts and texts without letters are ``und`` with score 0 and rejected; very long texts are
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import bytes_np as B
-from maskwright.llm.common import fold, table
+from maskwright.llm.common import fold, table, tidy
 
 ORDER, DISCOUNT = 4, 0.75
 #: Characters of labelled text that are learned from at most, per language (about).
 SAMPLE_CHARS = 1_500_000
+#: Characters of a piece that is chosen as a whole, and pieces under which a language keeps none back.
+PIECE_CHARS, FEW_PIECES = 2000, 20
 #: Characters scored at once.
 RUN_CHARS = 1 << 20
 #: Rejection: nats a character over the language's mean, and standard errors.
@@ -111,12 +115,25 @@ class Model:
     """
 
     def __init__(self, counts: dict[str, dict[bytes, int]], order: int = ORDER):
-        self.langs = sorted(counts)
+        rows = [(i, g, n) for i, lang in enumerate(sorted(counts)) for g, n in counts[lang].items()]
+        codes = np.frombuffer(b"".join(g for _, g, _ in rows), np.uint32).reshape(len(rows), order)
+        self._build(sorted(counts), np.array([r[0] for r in rows]), codes, np.array([r[2] for r in rows]), order)
+
+    @classmethod
+    def of(cls, langs: list[str], lang: np.ndarray, codes: np.ndarray, n: np.ndarray, order: int = ORDER) -> Model:
+        """From rows of (number of the language in ``langs``, code points of an n-gram, count)."""
+        model = cls.__new__(cls)
+        model._build(langs, lang, codes, n, order)
+        return model
+
+    def _build(self, langs: list[str], lang: np.ndarray, codes: np.ndarray, n: np.ndarray, order: int) -> None:
+        self.langs = langs
         self.keys, self.logp, self.back = [], [], []
         self.mean, self.sd = np.zeros(len(self.langs)), np.ones(len(self.langs))
-        full = sorted({g for c in counts.values() for g in c})
-        codes = np.frombuffer(b"".join(full), np.uint32).reshape(len(full), order)
-        n = np.array([[c.get(g, 0) for g in full] for c in counts_in_order(counts)], np.float64)  # languages x grams
+        codes, of = np.unique(codes, axis=0, return_inverse=True)
+        table = np.zeros((len(langs), len(codes)))  # languages x grams
+        table[lang, of.ravel()] = n
+        n = table
         # counts of each order: the highest is real, lower ones count distinct left extensions
         level = {order: (codes, n)}
         for k in range(order - 1, 0, -1):
@@ -138,8 +155,9 @@ class Model:
                 total = np.stack([np.bincount(of, row, len(ctx)) for row in c])
                 kinds = np.stack([np.bincount(of, row > 0, len(ctx)) for row in c])
                 weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-                low = {x.tobytes(): i for i, x in enumerate(level[k - 1][0])}
-                suffix = np.array([low[x.tobytes()] for x in g[:, 1:]])
+                # the lower level holds the distinct suffixes of this one, in order
+                _, suffix = np.unique(g[:, 1:], axis=0, return_inverse=True)
+                suffix = suffix.ravel()
                 p = np.maximum(c - DISCOUNT, 0) / np.maximum(total[:, of], 1) + weight[:, of] * prob[k - 1][:, suffix]
                 back = (ctx, np.log(weight))
             prob[k] = p
@@ -194,10 +212,6 @@ class Model:
         return out, np.maximum(np.diff(off) - 1, 0)
 
 
-def counts_in_order(counts):
-    return [counts[k] for k in sorted(counts)]
-
-
 def _hash_rows(g: np.ndarray) -> np.ndarray:
     h = np.zeros(len(g), np.uint64)
     for i in range(g.shape[1]):
@@ -258,18 +272,26 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order: in
     """Models of the labels of ``labelled``, from at most about ``sample_chars`` characters of each (whole texts)."""
     spark = labelled.sparkSession
     own = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_chars / max(n, 1))))]) if sizes else F.create_map().cast("map<string,double>")
-    sample = own.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    rows = sample.mapInArrow(_count_batches(order), "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    counts: dict[str, dict[bytes, int]] = {k: {} for k in sizes}
-    for la, g, n in zip(rows.column("lang").to_pylist(), rows.column("gram").to_pylist(), rows.column("n").to_pylist(), strict=True):
-        counts[la][g] = n
-    if not any(counts.values()):
+    pieces = own.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))).alias("text")).withColumn("h", F.xxhash64("text"))
+    each = pieces.groupBy("lang", "h").agg(F.max(F.length("text")).alias("n"))
+    sizes = {r["lang"]: (r["n"], r["k"]) for r in each.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()}
+    if not sizes:
+        return Model({"und": {np.full(order, 32, np.uint32).tobytes(): 1}}, order)
+    by_lang = lambda f, kind: F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(f(*v)).cast(kind))]), F.col("lang"))
+    share, few = by_lang(lambda n, _: min(1.0, sample_chars / max(n, 1)), "double"), by_lang(lambda _, k: k < FEW_PIECES, "boolean")
+    u = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / float(1 << 30)
+    sample = pieces.withColumn("u", u / share).filter("u < 1").withColumn("few", few).dropDuplicates(["lang", "h"])
+    rows = sample.filter("few or u < 0.9").select("lang", "text").mapInArrow(tidy(_count_batches(order)), "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    if not rows.num_rows:
         return Model({"und": {np.full(order, 32, np.uint32).tobytes(): 1}}, order)
-    model = Model({k: c for k, c in counts.items() if c}, order)
-    # calibration: mean and spread of the cross-entropy of each language's own rows
-    seen = sample.select(F.col("lang"), "text").mapInArrow(_judge_batches(spark.sparkContext.broadcast(model)), "lang string, " + OUT).filter("lang = lang_pred")
+    lang_of = rows.column("lang").combine_chunks().dictionary_encode()
+    names = lang_of.dictionary.to_pylist()
+    langs = sorted(names)
+    codes = np.frombuffer(b"".join(rows.column("gram").to_pylist()), np.uint32).reshape(-1, order)
+    model = Model.of(langs, np.array([langs.index(x) for x in names])[lang_of.indices.to_numpy()], codes, rows.column("n").to_numpy(), order)
+    # calibration: mean and spread of the cross-entropy of each language's own pieces that were kept back
+    kept_back = sample.filter("few or u >= 0.9").select("lang", "text")
+    seen = kept_back.mapInArrow(tidy(_judge_batches(spark.sparkContext.broadcast(model))), "lang string, " + OUT).filter("lang = lang_pred")
     for r in seen.groupBy("lang").agg(F.avg("entropy").alias("m"), F.stddev("entropy").alias("s")).collect():
         i = model.langs.index(r["lang"])
         model.mean[i], model.sd[i] = r["m"], max(r["s"] or 0, 0.3)
@@ -281,13 +303,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     inner = [f"_k{i}" for i in range(len(keep))]
     own = docs.select(*(F.col(f"`{k}`").alias(a) for k, a in zip(keep, inner, strict=True)), F.col(f"`{text}`").alias("_text"))
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-1]), OUT])
-    found = own.mapInArrow(_judge_batches(docs.sparkSession.sparkContext.broadcast(model)), shape)
+    found = own.mapInArrow(tidy(_judge_batches(docs.sparkSession.sparkContext.broadcast(model))), shape)
     return found.select(*(F.col(a).alias(k) for a, k in zip(inner, keep, strict=True)), "lang_pred", "score", "rejected", "entropy")
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without the rejected rows; all columns as they were."""
-    return identify(docs, model, text, tuple(docs.columns)).filter("not rejected").select(*(f"`{c}`" for c in docs.columns))
+    plain = [f"_c{i}" for i in range(len(docs.columns))]  # so that no name clashes with the results
+    found = identify(docs.toDF(*plain), model, plain[docs.columns.index(text)], tuple(plain))
+    return found.filter("not rejected").select(*plain).toDF(*docs.columns)
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

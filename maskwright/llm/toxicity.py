@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import bytes_np as B
-from maskwright.llm.common import fold, table
+from maskwright.llm.common import fold, table, tidy
 
 WIDTH, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 14, 1 << 13, 8, 16, 8, 8
@@ -281,7 +281,7 @@ def _score_batches(net):
 
 def score(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return own.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(net)), "doc_id long, score double")
+    return own.mapInArrow(tidy(_score_batches(docs.sparkSession.sparkContext.broadcast(net))), "doc_id long, score double")
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
