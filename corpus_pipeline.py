@@ -1,6 +1,11 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of documents.
+
+Defined cases: documents with null or empty texts, or without a letter, are rejected by language identification; very long
+texts pass through whole; of rows with equal id and text one stays, of near-duplicates the one of least id (null ids last);
+rows that share an id with different texts are documents of their own; empty tables pass through as such; other columns
+stay as they are, whatever their names, but ``n_chars``, which follows a shortened text.
 """
 
 from __future__ import annotations
@@ -22,20 +27,34 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes repeated line runs; documents of which nothing is left go."""
     ship(spark)
-    done = line_dedup.dedup_lines(docs).filter("n_left != 0")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", n_chars).select(*(f"`{c}`" for c in docs.columns))
+    names = docs.columns
+    plain = [f"_c{i}" for i in range(len(names))]  # so that no name clashes with the operator's figures
+    at = {n: plain[i] for i, n in enumerate(names)}
+    done = line_dedup.dedup_lines(docs.toDF(*plain), at["doc_id"], at["text"]).filter("n_left != 0")
+    if "n_chars" in at:
+        n_chars = F.when(F.col("n_removed") > 0, F.length(at["text"]).cast("long")).otherwise(F.col(at["n_chars"]))
+        done = done.withColumn(at["n_chars"], n_chars)
+    return done.select(*plain).toDF(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates (five words, similarity 0.8)."""
+    """Keeps the document with the least id of each group of near-duplicates (five words, similarity 0.8).
+
+    Null ids come last; null and empty texts are nobody's duplicates.
+    """
     ship(spark)
-    groups = jaccard_join.near_duplicates(docs)
-    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    # rows that share an id are one document; rows without id stay
-    once = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
-    return left.withColumn("_once", once).dropDuplicates(["_once"]).drop("_once")
+    names = docs.columns
+    plain = [f"_c{i}" for i in range(len(names))]
+    doc_id, text = (F.col(plain[names.index(n)]) for n in ("doc_id", "text"))
+    # rows of one id and one text are one document; other rows stand for themselves, whatever their ids
+    own = docs.toDF(*plain).withColumn("_key", F.xxhash64(doc_id.cast("string"), text))
+    groups = jaccard_join.near_duplicates(own.select("_key", text.alias("text")), doc_id="_key").select(F.col("doc_id").alias("_k"), "component_id")
+    placed = groups.distinct().join(own.select("_key", doc_id.alias("_id")).distinct(), F.col("_k") == F.col("_key")).select("_k", "component_id", F.struct(F.col("_id").isNull(), "_id", "_key").alias("_place"))
+    placed = materialise(placed, "placed")
+    stay = placed.groupBy(F.col("component_id").alias("_g")).agg(F.min("_place").alias("_first"))
+    gone = placed.join(materialise(stay, "stay"), F.col("component_id") == F.col("_g")).filter("_place != _first").select("_k").distinct()
+    left = own.join(gone, F.col("_key") == F.col("_k"), "left_anti")
+    return left.dropDuplicates(["_key"]).select(*plain).toDF(*names)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
