@@ -162,6 +162,16 @@ def _star_in_batch(batches):
             )
 
 
+def _stars_of_texts(shingle: int, percent: int):
+    """(doc_id, text) to the rows of ``_star_in_batch``, in one worker: sets without shingles have no keys."""
+
+    def go(batches):
+        for batch in _features(shingle, percent, keyed=True)(batches):
+            yield from _star_in_batch([pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("n"), batch.column("keys")], names=["node", "n", "keys"])])
+
+    return go
+
+
 def _star_across(batches):
     """Sorted by (route, key, node): key rows with a common key meet the first one. Gives (key, node, n, pivot) of live keys."""
     held = None  # the last key row, whose key may go on in the next batch
@@ -323,8 +333,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = named.mapInArrow(tidy(_features(shingle, percent, sketched=True)), shape + ", bits binary").filter("n > 0")
     sets = materialise(sets.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits")), "sets")
     # first round: stars around the least set of each key
-    keyed = named.mapInArrow(tidy(_features(shingle, percent, keyed=True)), shape + ", keys array<long>").filter("n > 0")
-    routed = keyed.select(F.col("h1").alias("node"), "n", "keys").mapInArrow(tidy(_star_in_batch), "route long, key long, node long, n long, pivot long")
+    routed = named.mapInArrow(tidy(_stars_of_texts(shingle, percent)), "route long, key long, node long, n long, pivot long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     live = routed.repartition(parts, "route").sortWithinPartitions("route", "key", "node").mapInArrow(tidy(_star_across), "key long, node long, n long, pivot long")
     live = materialise(live, "live")
