@@ -35,7 +35,7 @@ SAMPLE_CHARS = 1_500_000
 #: Characters of a piece that is chosen as a whole, and pieces under which a language keeps none back.
 PIECE_CHARS, FEW_PIECES = 2000, 20
 #: Characters scored at once.
-RUN_CHARS = 1 << 20
+RUN_CHARS = 1 << 18
 #: Rejection: nats a character over the language's mean, and standard errors.
 REJECT_NATS, REJECT_Z = 1.8, 6.0
 #: Sharpness of the score per character of evidence, and the characters that count at most.

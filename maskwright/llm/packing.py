@@ -28,9 +28,9 @@ WINDOW, END_ID = 2048, 1
 #: Remainders that are packed together at most; bounds a task's memory.
 GROUP = 50_000
 #: Bytes of text that are tokenized at once, and of finished ids that a group holds at most.
-CHUNK_BYTES, GROUP_BYTES = 2 << 20, 24 << 20
+CHUNK_BYTES, GROUP_BYTES = 1 << 20, 12 << 20
 #: Pieces whose ids a worker keeps, and the bytes of one at most: longer ones are tokenized each time.
-CACHE_PIECES, PIECE_BYTES = 400_000, 64
+CACHE_PIECES, PIECE_BYTES = 300_000, 64
 
 _state: dict = {}
 
@@ -254,8 +254,8 @@ def _pack_batches(path: str, window: int, end_id: int, with_ids: bool, key_type)
         def flush():
             nonlocal used
             found = pack([len(t) // 4 for t in tokens], window)
-            for a in range(0, len(found), 20_000):
-                part = found[a : a + 20_000]
+            for a in range(0, len(found), 4000):
+                part = found[a : a + 4000]
                 cut = [tokens[i][4 * s : 4 * (s + n)] for i, s, n, _, _ in part]
                 cols = [
                     pa.array([keys[i] for i, *_ in part], key_type), pa.array([p[1] for p in part], pa.int64()), pa.array([p[2] for p in part], pa.int64()),
