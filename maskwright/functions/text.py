@@ -137,12 +137,18 @@ def one_off(a: Column, b: Column) -> Column:
     return (F.length(a) == F.length(b)) & (F.size(F.filter(F.arrays_zip(F.split(a, "").alias("p"), F.split(b, "").alias("q")), lambda z: z["p"] != z["q"])) <= 1)
 
 
-def scrub(c: Column | str, own_host: str = "") -> Column:
-    """Free text without API keys, email addresses and links to other hosts."""
-    out = F.regexp_replace(_col(c), r"(sk|pk|key|token|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{8,}|AKIA[0-9A-Z]{12,}|[A-Fa-f0-9]{32,}", "[key]")
-    out = F.regexp_replace(out, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
-    keep = f"(?!{own_host})" if own_host else ""
-    return F.regexp_replace(out, rf"https?://{keep}[^ \t\n]+", "[link]")
+# What is taken out of free text, and how much of it is kept.
+SECRETS = ((r"sk-[A-Za-z0-9_-]{8,}", "[key removed]"), (r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+", "[email removed]"))
+SCRUB_LIMIT = 400
+
+
+def scrub(c: Column | str, own_hosts: Sequence[str] = ("localhost",)) -> Column:
+    """Free text without API keys, email addresses and links that name none of ``own_hosts`` (patterns); 400 characters."""
+    out = F.coalesce(_col(c), F.lit(""))
+    for pattern, mark in SECRETS:
+        out = F.regexp_replace(out, pattern, mark)
+    own = f"(?![^{JS_WS})]*(?:{'|'.join(own_hosts)}))" if own_hosts else ""
+    return F.substring(F.regexp_replace(out, rf"https?://{own}[^{JS_WS})]+", "[link removed]"), 1, SCRUB_LIMIT)
 
 
 def scrub_quote(c: Column, vocabulary: Column, clients: Column | Sequence[str] = (), known: Sequence[str] = NEUTRAL, limit: int = 400) -> Column:

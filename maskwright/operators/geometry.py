@@ -27,11 +27,13 @@ def overlap(a: str, b: str) -> Column:
     return w * h / F.least(area(a), area(b))
 
 
-def centre_in(a: str, b: str) -> Column:
-    """Whether the centre of box ``a`` lies in box ``b``."""
+def centre_in(a: str, b: str, strict: bool = False) -> Column:
+    """Whether the centre of box ``a`` lies in box ``b``; ``strict``: not on its edge."""
     ax, ay, aw, ah = _b(a)
     bx, by, bw, bh = _b(b)
     cx, cy = ax + aw / 2, ay + ah / 2
+    if strict:
+        return (cx > bx) & (cx < bx + bw) & (cy > by) & (cy < by + bh)
     return (cx >= bx) & (cx <= bx + bw) & (cy >= by) & (cy <= by + bh)
 
 
@@ -39,17 +41,26 @@ def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("image_id",))
     return df.select(*keep, *(F.col(c).alias(prefix + c) for c in df.columns if c not in keep))
 
 
-def near_pairs(a: DataFrame, b: DataFrame, bucket: float = 48.0, reach: float = 0.0) -> DataFrame:
-    """Pairs of boxes of one picture whose rows, widened by ``reach``, share a band of ``bucket`` pixels; once each.
+def near_pairs(a: DataFrame, b: DataFrame, bucket: float = 48.0, reach: float = 0.0, reach_x: Column | float = 0.0, cell: float = 192.0) -> DataFrame:
+    """Pairs of boxes of one picture that share a cell of ``cell`` × ``bucket`` pixels; once each.
 
-    ``a`` and ``b`` have ``image_id`` and prefixed columns (``a_x`` …, ``b_x`` …). The band spreads large pictures.
+    ``a`` and ``b`` have ``image_id`` and prefixed columns (``a_x`` …, ``b_x`` …). Rows of ``b`` are widened by ``reach``,
+    the width of ``a`` on both sides by ``reach_x``. Candidates of a box grow with the boxes near it, not with its line.
     """
-    low = lambda p, r: F.floor((F.col(p + "y") - r) / bucket)
-    high = lambda p, r: F.floor((F.col(p + "y") + F.col(p + "h") + r) / bucket)
-    left = a.withColumn("_lo_a", low("a_", 0.0)).withColumn("band", F.explode(F.sequence(F.col("_lo_a"), high("a_", 0.0))))
-    right = b.withColumn("_lo_b", low("b_", reach)).withColumn("band", F.explode(F.sequence(F.col("_lo_b"), high("b_", reach))))
-    both = left.join(right, ["image_id", "band"])
-    return both.filter(F.col("band") == F.greatest("_lo_a", "_lo_b")).drop("band", "_lo_a", "_lo_b")
+    wide = reach_x if isinstance(reach_x, Column) else F.lit(float(reach_x))
+
+    def dealt(df: DataFrame, p: str, dx: Column, dy: float) -> DataFrame:
+        first = lambda at, size: F.floor(at / size)
+        x, y, w, h = _b(p)
+        span = df.withColumns({
+            f"_u{p}": first(x - dx, cell), f"_v{p}": first(x + F.greatest(w, F.lit(0.0)) + dx, cell),
+            f"_s{p}": first(y - dy, bucket), f"_t{p}": first(y + F.greatest(h, F.lit(0.0)) + dy, bucket),
+        })
+        return span.withColumn("_row", F.explode(F.sequence(f"_s{p}", f"_t{p}"))).withColumn("_col", F.explode(F.sequence(f"_u{p}", f"_v{p}"))).drop(f"_v{p}", f"_t{p}")
+
+    both = dealt(a, "a_", wide, 0.0).join(dealt(b, "b_", F.lit(0.0), float(reach)), ["image_id", "_row", "_col"])
+    once = (F.col("_row") == F.greatest("_sa_", "_sb_")) & (F.col("_col") == F.greatest("_ua_", "_ub_"))
+    return both.filter(once).drop("_row", "_col", "_sa_", "_sb_", "_ua_", "_ub_")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, threshold: float = 0.3, bucket: float = 48.0) -> DataFrame:
@@ -65,7 +76,7 @@ def inside_join(a: DataFrame, b: DataFrame, bucket: float = 48.0) -> DataFrame:
 
 def except_contained(a: DataFrame, b: DataFrame, key: str, slack: float = 1.0, bucket: float = 48.0) -> DataFrame:
     """Boxes of ``a`` that no box of ``b`` contains, with ``slack`` pixels."""
-    pairs = near_pairs(prefixed(a, "a_"), prefixed(b, "b_"), bucket, reach=slack)
+    pairs = near_pairs(prefixed(a, "a_"), prefixed(b, "b_"), bucket, reach=slack, reach_x=slack)
     ax, ay, aw, ah = _b("a_")
     bx, by, bw, bh = _b("b_")
     held = pairs.filter((bx <= ax + slack) & (by <= ay + slack) & (bx + bw >= ax + aw - slack) & (by + bh >= ay + ah - slack))
@@ -75,18 +86,26 @@ def except_contained(a: DataFrame, b: DataFrame, key: str, slack: float = 1.0, b
 def coverage(words: DataFrame, boxes: DataFrame, key: str = "word_id", nx: int = 16, ny: int = 6, bucket: float = 48.0) -> DataFrame:
     """``words`` with ``covered``: the share of an nx × ny grid of sample points that lie in any box.
 
-    Only words that touch a box get points; a word inside one box needs none.
+    The points that a box covers are bits of a few longs (a row of the grid has nx of them); boxes are joined by OR.
     """
     ax, ay, aw, ah = _b("a_")
     bx, by, bw, bh = _b("b_")
     pairs = near_pairs(prefixed(words.select("image_id", key, *BOX), "a_"), prefixed(boxes.select("image_id", *BOX), "b_"), bucket)
     near = pairs.filter((bx < ax + aw) & (bx + bw > ax) & (by < ay + ah) & (by + bh > ay))
-    points = F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1)))
-    px, py = ax + (F.floor(F.col("k") / ny) + 0.5) / nx * aw, ay + (F.col("k") % ny + 0.5) / ny * ah
-    whole = (bx <= ax) & (by <= ay) & (bx + bw >= ax + aw) & (by + bh >= ay + ah)
-    full = near.filter(whole).select("image_id", F.col(f"a_{key}").alias(key)).distinct().withColumn("full", F.lit(True))
-    hits = near.join(full.select("image_id", F.col(key).alias(f"a_{key}")), ["image_id", f"a_{key}"], "left_anti").withColumn("k", points)
-    hits = hits.filter((px >= bx) & (px <= bx + bw) & (py >= by) & (py <= by + bh)).groupBy("image_id", F.col(f"a_{key}").alias(key)).agg(F.count_distinct("k").alias("hit"))
-    out = words.join(full, ["image_id", key], "left").join(hits, ["image_id", key], "left")
-    share = F.when(F.col("full"), 1.0).otherwise(F.coalesce(F.col("hit"), F.lit(0)) / (nx * ny))
-    return out.withColumn("covered", share).drop("full", "hit")
+    bit = lambda on, k: F.when(on, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    columns = F.lit(0).cast("bigint")
+    for i in range(nx):
+        px = ax + F.lit((i + 0.5) / nx) * aw
+        columns = columns.bitwiseOR(bit((px >= bx) & (px <= bx + bw), i))
+    near = near.withColumn("_columns", columns)
+    per, longs = 62 // nx, []
+    for first in range(0, ny, per):
+        value = F.lit(0).cast("bigint")
+        for j in range(first, min(first + per, ny)):
+            py = ay + F.lit((j + 0.5) / ny) * ah
+            value = value.bitwiseOR(F.when((py >= by) & (py <= by + bh), F.shiftleft("_columns", nx * (j - first))).otherwise(F.lit(0).cast("bigint")))
+        longs.append(value)
+    hit = near.groupBy("image_id", F.col(f"a_{key}").alias(key)).agg(*(F.bit_or(v).alias(f"_l{i}") for i, v in enumerate(longs)))
+    points = sum((F.bit_count(f"_l{i}") for i in range(1, len(longs))), F.bit_count("_l0"))
+    seen = hit.select("image_id", key, (points / (nx * ny)).alias("covered"))
+    return words.join(seen, ["image_id", key], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))

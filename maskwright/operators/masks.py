@@ -90,12 +90,17 @@ def all_masks(*layers: DataFrame) -> DataFrame:
 
 
 def mask_counts(masks: DataFrame, *dims: str) -> DataFrame:
-    """Masks per type and per ``dims``, with totals over each (null names the total)."""
-    return masks.cube(*dims, "type").agg(F.count("*").alias("n_masks"))
+    """Active masks per type and per ``dims``, with totals over each (null names the total)."""
+    return (masks.filter("on") if "on" in masks.columns else masks).cube(*dims, "type").agg(F.count("*").alias("n_masks"))
+
+
+def without_ghosts(words: DataFrame) -> DataFrame:
+    return words.filter(~F.col("ghost")) if "ghost" in words.columns else words
 
 
 def tally(words: DataFrame, masks: DataFrame, session: Sequence[str] = ()) -> DataFrame:
-    """Per picture: words hidden (centre in an active mask), words kept, and decisions of the user."""
+    """Per picture: words hidden (centre in an active mask), words kept, and decisions of the user; ghosts do not count."""
+    words = without_ghosts(words)
     active = masks.filter("on")
     pairs = near_pairs(prefixed(words.select("image_id", "word_id", "x", "y", "w", "h"), "a_"), prefixed(active.select("image_id", "x", "y", "w", "h"), "b_"))
     hidden = pairs.filter(centre_in("a_", "b_")).select("image_id", F.col("a_word_id").alias("word_id")).distinct().withColumn("hidden", F.lit(1))
@@ -105,7 +110,8 @@ def tally(words: DataFrame, masks: DataFrame, session: Sequence[str] = ()) -> Da
 
 
 def published_words(words: DataFrame, masks: DataFrame) -> DataFrame:
-    """The view that may leave: text is emptied where a word's centre is in an active mask."""
+    """The view that may leave: text is emptied where a word's centre is in an active mask; ghosts are left out."""
+    words = without_ghosts(words)
     pairs = near_pairs(prefixed(words.select("image_id", "word_id", "x", "y", "w", "h"), "a_"), prefixed(masks.filter("on").select("image_id", "x", "y", "w", "h"), "b_"))
     hidden = pairs.filter(centre_in("a_", "b_")).select("image_id", F.col("a_word_id").alias("word_id")).distinct().withColumn("hidden", F.lit(True))
     both = words.join(hidden, ["image_id", "word_id"], "left")
@@ -120,10 +126,27 @@ def kept_words(words: DataFrame, allow: Sequence[str] = NEUTRAL) -> DataFrame:
 
 
 def upper_median(df: DataFrame, value: str, key: str = "image_id", name: str = "median") -> DataFrame:
+    """Per key the upper median of its values. For groups as large as a page; see ``large_upper_median``."""
     ordered = F.sort_array(F.collect_list(value))
     return df.groupBy(key).agg(F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int")).alias(name))
 
 
+def large_upper_median(df: DataFrame, value: str, key: str, name: str = "median") -> DataFrame:
+    """``upper_median`` for groups of any size: a sketch bounds where the median lies, and only what lies there is ordered.
+
+    The sketch's ranks are right within a ten-thousandth of the group, so that its 49.9th and 50.1st percent enclose the
+    median; values between them are counted per value before their order is summed up.
+    """
+    own = df.filter(F.col(value).isNotNull()).select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    bounds = own.groupBy("_key").agg(F.percentile_approx("_value", [0.499, 0.501], 10_000).alias("_b"), F.count("*").alias("_n"))
+    both = own.join(bounds, "_key")
+    low = F.col("_value") < F.get("_b", F.lit(0))
+    near = both.filter(F.col("_value") <= F.get("_b", F.lit(1))).groupBy("_key", F.when(~low, F.col("_value")).alias("_v")).agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    up_to = F.sum("_c").over(Window.partitionBy("_key").orderBy(F.col("_v").asc_nulls_first()))
+    found = near.withColumn("_up", up_to).filter(F.col("_v").isNotNull() & (F.col("_up") > F.floor(F.col("_n") / 2)))
+    return found.groupBy(F.col("_key").alias(key)).agg(F.min("_v").alias(name))
+
+
 def plausible(words: DataFrame) -> DataFrame:
     """Without readings that cannot be text, judged against the page's median height."""
     both = words.join(upper_median(words, "h", name="med"), "image_id")
@@ -185,7 +208,8 @@ def label_text(c: str) -> Column:
 def beside(words: DataFrame, direction: int = -1) -> DataFrame:
     """Per word its nearest neighbour to the left (-1) or right (1) on the line: image_id, word_id, n_word_id, n_text, gap."""
     slim = words.select("image_id", "word_id", "text", "x", "y", "w", "h")
-    pairs = near_pairs(prefixed(slim, "a_"), prefixed(slim, "b_")).filter("a_word_id != b_word_id")
+    reach = F.greatest(F.col("a_h"), F.lit(8.0)) * 3
+    pairs = near_pairs(prefixed(slim, "a_"), prefixed(slim, "b_"), reach_x=reach).filter("a_word_id != b_word_id")
     a, b = (lambda n: F.col("a_" + n)), (lambda n: F.col("b_" + n))
     level = F.abs(b("y") + b("h") / 2 - a("y") - a("h") / 2) <= F.greatest(a("h"), b("h")) * 0.6
     apart = F.least(a("x") + a("w"), b("x") + b("w")) - F.greatest(a("x"), b("x")) <= F.least(a("w"), b("w")) * 0.3

@@ -32,9 +32,9 @@ sf AS (SELECT * FROM typed WHERE type IS NULL),
 safe_again AS (SELECT DISTINCT r.image_id, r.word_id FROM sure r JOIN sf v ON r.image_id = v.image_id AND r.y = v.y + 1 AND NOT regexp_matches(r.text, '[0-9]') AND {P.overlap_sql('r', 'v')} > 0.5
    AND (r.w * r.h) / greatest(1, v.w * v.h) > 0.5 AND (r.w * r.h) / greatest(1, v.w * v.h) < 2 AND {NEAR_SQL}),
 ck AS (SELECT text, {P.classify_sql('text')} AS type FROM (SELECT DISTINCT text FROM sure)),
-cand AS (SELECT s.*, ck.type, CASE WHEN ck.type = '{T.TEXT}' THEN 'review' ELSE 'block' END AS severity FROM sure s JOIN ck USING (text) ANTI JOIN cov USING (image_id, word_id) ANTI JOIN safe_again USING (image_id, word_id)
-  WHERE ck.type IS NOT NULL AND NOT (ck.type = '{T.TEXT}' AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) <= 2 AND NOT regexp_matches(text, '[0-9]')))"""
-CAND_SQL = CAND_SQL.replace("FROM sure s JOIN ck USING (text) ANTI JOIN cov USING (image_id, word_id) ANTI JOIN safe_again USING (image_id, word_id)\n  WHERE", "FROM sure s JOIN ck USING (text)\n  WHERE (s.image_id, s.word_id) NOT IN (SELECT image_id, word_id FROM cov) AND (s.image_id, s.word_id) NOT IN (SELECT image_id, word_id FROM safe_again) AND")
+cand AS (SELECT s.*, ck.type, CASE WHEN ck.type = '{T.TEXT}' THEN 'review' ELSE 'block' END AS severity FROM sure s JOIN ck USING (text)
+  WHERE (s.image_id, s.word_id) NOT IN (SELECT image_id, word_id FROM cov) AND (s.image_id, s.word_id) NOT IN (SELECT image_id, word_id FROM safe_again)
+  AND ck.type IS NOT NULL AND NOT (ck.type = '{T.TEXT}' AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) <= 2 AND NOT regexp_matches(text, '[0-9]')))"""
 CHECK = f"{MASKS}, {ACTIVE_SQL}, {REREAD_SQL}, {CAND_SQL}"
 
 
@@ -114,36 +114,44 @@ W3_SQL = f"WITH {MASKS} SELECT image_id, mask_id, w FROM masks QUALIFY row_numbe
 
 def s7_release(spark, sf_dir):
     """Conversations as files, turns as pages; a page passes when its text has nothing to mask."""
-    turns = P.read(spark, sf_dir, "conversations").select(F.concat(F.lit("f"), (F.col("conv_id") / 10).cast("long").cast("string")).alias("file"), F.concat_ws("-", "conv_id", "turn").alias("image_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("page"), (F.length("text") > 1500).alias("failed"), "text")
+    turns = P.read(spark, sf_dir, "conversations").select(F.concat(F.lit("f"), (F.col("conv_id") / 10).cast("long").cast("string")).alias("file"), F.concat_ws("-", "conv_id", "turn").alias("image_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("page"), (F.coalesce(F.length("text"), F.lit(0)) > 1500).alias("failed"), "text")
     gates = turns.select("image_id", F.when(F.col("text").rlike("[0-9]"), "blocked").when(F.length("text") > 900, "review").otherwise("pass").alias("gate"))
     return V.release_notes(V.release(turns.drop("text"), gates))
 
 
-S7_SQL = """WITH t AS (SELECT 'f' || CAST(conv_id // 10 AS VARCHAR) AS file, concat_ws('-', conv_id, turn) AS image_id, conv_id * 1000 + turn AS page, length(text) > 1500 AS failed,
+S7_SQL = """WITH t AS (SELECT 'f' || CAST(conv_id // 10 AS VARCHAR) AS file, concat_ws('-', conv_id, turn) AS image_id, conv_id * 1000 + turn AS page, coalesce(length(text), 0) > 1500 AS failed,
  CASE WHEN regexp_matches(text, '[0-9]') THEN 'blocked' WHEN length(text) > 900 THEN 'review' ELSE 'pass' END AS gate FROM conversations),
-s AS (SELECT file, CASE WHEN row_number() OVER (PARTITION BY file ORDER BY page, image_id) > 30 THEN 'cut' WHEN failed THEN 'error' WHEN gate = 'pass' THEN 'done' ELSE 'held' END AS status FROM t)
-SELECT file, CASE max(CASE status WHEN 'error' THEN 2 WHEN 'held' THEN 1 ELSE 0 END) WHEN 2 THEN 'error' WHEN 1 THEN 'held' ELSE 'done' END AS status,
- count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'held') AS held, count(*) FILTER (WHERE status = 'cut') AS cut FROM s GROUP BY file"""
+s AS (SELECT file, CASE WHEN max(failed) OVER (PARTITION BY file) THEN 'error' WHEN row_number() OVER (PARTITION BY file ORDER BY page, image_id) > 30 THEN 'cut' WHEN gate = 'pass' THEN 'done' ELSE 'held' END AS status FROM t),
+c AS (SELECT file, count(*) FILTER (WHERE status = 'error') AS bad, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'held') AS held, count(*) FILTER (WHERE status = 'cut') AS cut, count(*) AS pages FROM s GROUP BY file)
+SELECT file, CASE WHEN bad > 0 THEN 'error' WHEN held > 0 AND done = 0 THEN 'held' ELSE 'done' END AS status, done, held, cut,
+ CASE WHEN bad > 0 THEN '' ELSE concat_ws(', ', CASE WHEN cut > 0 THEN 'first 30 of ' || pages || ' pages' WHEN pages > 1 THEN pages || ' pages' END, CASE WHEN held > 0 AND done > 0 THEN held || ' held back' END) END AS note FROM c"""
 
 
 def s8_names(spark, sf_dir):
-    files = P.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("lang", F.lit("."), "source", F.lit(".png")).alias("name"))
+    """Pictures named by language and source; of those named by language alone, some already end in -2."""
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit("."), "source")).when(F.col("doc_id") % 7 == 0, F.concat("lang", F.lit("-2"))).otherwise(F.col("lang"))
+    files = P.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(name, F.lit(".png")).alias("name"))
     return V.dedupe_names(files)
 
 
-S8_SQL = r"SELECT id, name, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '\.[^.]*\z', '') || '-' || n || '.png' END AS out FROM (SELECT doc_id AS id, lang || '.' || source || '.png' AS name, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)"
+#: The name that ends in -2 and the second use of the plain one want the same name: the earlier has it.
+S8_SQL = r"""WITH f AS (SELECT doc_id AS id, lang, CASE WHEN doc_id % 3 = 0 THEN 'own' WHEN doc_id % 7 = 0 THEN 'two' ELSE 'plain' END AS kind, CASE WHEN doc_id % 3 = 0 THEN lang || '.' || source WHEN doc_id % 7 = 0 THEN lang || '-2' ELSE lang END AS stem FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY id) AS n FROM f),
+w AS (SELECT lang, min(id) FILTER (WHERE kind = 'plain' AND n = 2) AS second, min(id) FILTER (WHERE kind = 'two') AS two FROM o GROUP BY lang),
+k AS (SELECT o.*, CASE WHEN kind = 'own' OR two IS NULL THEN n WHEN kind = 'plain' THEN CASE WHEN n >= 2 AND two < second THEN n + 1 ELSE n END ELSE CASE WHEN second < two THEN n + 1 ELSE n END END AS nr FROM o LEFT JOIN w USING (lang))
+SELECT id, stem || '.png' AS name, CASE WHEN nr = 1 THEN stem || '.png' ELSE stem || '-' || nr || '.png' END AS out FROM k"""
 
 
 def j11_carry(spark, sf_dir):
-    """The same page read again: old decisions lie three pixels off."""
+    """The same page read again: old decisions lie three pixels off, and what was added by hand or after the check stays."""
     _, old = _page(spark, sf_dir)
     new = old.select("image_id", "mask_id", "type", (F.col("x") + 3).alias("x"), "y", "w", "h", F.lit("auto").alias("src"))
     return V.carry_decisions(new, old).select("image_id", "mask_id", "x", "on", "user_off", "src")
 
 
-J11_SQL = f"""WITH {MASKS}, {ACTIVE_SQL}, nw AS (SELECT image_id, mask_id, type, x + 3 AS x, y, w, h FROM act), hit AS (SELECT DISTINCT n.image_id, n.mask_id FROM nw n JOIN act o ON o.user_off AND n.image_id = o.image_id AND n.type = o.type AND n.y = o.y AND abs(n.x - o.x) < 4 AND abs(n.w - o.w) < 6)
+J11_SQL = f"""WITH {MASKS}, {ACTIVE_SQL}, nw AS (SELECT image_id, mask_id, type, x + 3 AS x, y, w, h FROM act), hit AS (SELECT DISTINCT n.image_id, n.mask_id FROM nw n JOIN act o ON o.user_off AND o.src = 'auto' AND n.image_id = o.image_id AND n.type = o.type AND n.y = o.y AND abs(n.x - o.x) < 4 AND abs(n.w - o.w) < 6)
 SELECT n.image_id, n.mask_id, x, hit.mask_id IS NULL AS "on", hit.mask_id IS NOT NULL AS user_off, 'auto' AS src FROM nw n LEFT JOIN hit USING (image_id, mask_id)
-UNION ALL SELECT image_id, mask_id, x, "on", user_off, src FROM act WHERE src = 'manual'"""
+UNION ALL SELECT image_id, mask_id, x, "on", user_off, src FROM act WHERE src <> 'auto'"""
 
 
 def _truth(spark, sf_dir):
@@ -215,29 +223,38 @@ SELECT source, k, n, floor(p * 10000 + 0.5) / 100 AS pct, floor(greatest(0, c -
 
 
 def a10_gate(spark, sf_dir):
-    """The score's overall figures against those of the documents with an even number."""
+    """The score's five overall figures against those of the documents with an even number."""
     truth, masks, findings = _truth(spark, sf_dir)
-    score = S.masking_score(truth, masks, findings)
+    truth = truth.select("image_id", "word_id", "kind", "sensitive", "rotated", "x", "y", "w", "h")
+    score = S.masking_score(truth, masks, findings).filter("image_id is not null and kind is null")
+    exposed = S.coverage(truth.filter("sensitive"), masks).filter("covered < 0.85")
+    false = S.false_alarms(findings, exposed).groupBy("image_id").agg(F.count("*").alias("false"))
+    alarms = findings.groupBy("image_id").agg(F.count("*").alias("findings")).join(false, "image_id", "left")
+    area = truth.filter("sensitive and not rotated").groupBy("image_id").agg(F.sum(F.col("w") * F.col("h")).alias("area"))
+    images = score.join(alarms, "image_id", "left").join(area, "image_id", "left").withColumn("leaked", F.col("leaked_area") * F.col("area"))
 
     def figures(rows):
-        pct = lambda k, n: S.two_decimals(F.col(k) / F.col(n))
-        one = rows.agg(*(F.sum(c).alias(c) for c in ("sensitive", "first_exposed", "exposed", "safe", "over_masked")))
-        stack = F.explode(F.array(*(F.struct(F.lit(n).alias("figure"), v.alias("value")) for n, v in (("residualExposed.pct", pct("exposed", "sensitive")), ("firstPassExposed.pct", pct("first_exposed", "sensitive")), ("overMasked.pct", pct("over_masked", "safe"))))))
-        return one.select(stack.alias("s")).select("s.figure", "s.value")
+        pct = lambda k, n: S.two_decimals(F.coalesce(F.col(k), F.lit(0)) / F.col(n))
+        one = rows.agg(*(F.sum(c).alias(c) for c in ("sensitive", "first_exposed", "exposed", "safe", "over_masked", "false", "findings", "leaked", "area")))
+        values = {"residualExposed.pct": pct("exposed", "sensitive"), "residualLeakedAreaPct": pct("leaked", "area"), "firstPassExposed.pct": pct("first_exposed", "sensitive"), "overMasked.pct": pct("over_masked", "safe"), "falseAlarms.pct": pct("false", "findings")}
+        return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("figure"), v.alias("value")) for n, v in values.items()))).alias("s")).select("s.figure", "s.value")
 
-    images = score.filter("image_id is not null and kind is null")
     return S.bench_gate(figures(images), figures(images.filter("cast(image_id as long) % 2 = 0")))
 
 
-_FIG = "SELECT 'residualExposed.pct' AS figure, floor(sum(e) / sum(s) * 10000 + 0.5) / 100 AS value FROM {0} UNION ALL SELECT 'firstPassExposed.pct', floor(sum(f) / sum(s) * 10000 + 0.5) / 100 FROM {0} UNION ALL SELECT 'overMasked.pct', floor(sum(o) / sum(n) * 10000 + 0.5) / 100 FROM {0}"
-A10_SQL = f"""WITH {SCORED}, im AS (SELECT image_id, count(*) FILTER (WHERE sensitive) AS s, count(*) FILTER (WHERE sensitive AND c1 < 0.85) AS f, count(*) FILTER (WHERE sensitive AND c2 < 0.85) AS e, count(*) FILTER (WHERE NOT sensitive) AS n, count(*) FILTER (WHERE NOT sensitive AND c1 > 0.5) AS o FROM sc GROUP BY 1),
-ev AS (SELECT * FROM im WHERE CAST(image_id AS BIGINT) % 2 = 0), a AS ({_FIG.format('im')}), b AS ({_FIG.format('ev')}), t(figure, tolerance) AS (VALUES ('residualExposed.pct', 1.0), ('firstPassExposed.pct', 1.5), ('overMasked.pct', 2.0))
+_FIG = " UNION ALL ".join(f"SELECT '{n}' AS figure, floor(coalesce(sum({k}), 0) / sum({m}) * 10000 + 0.5) / 100 AS value FROM {{0}}" for n, k, m in (("residualExposed.pct", "e", "s"), ("residualLeakedAreaPct", "lk", "ar"), ("firstPassExposed.pct", "f", "s"), ("overMasked.pct", "o", "n"), ("falseAlarms.pct", "fa", "fn")))
+A10_SQL = f"""WITH {SCORED}, ex AS (SELECT * FROM sc WHERE sensitive AND c1 < 0.85), hit AS (SELECT DISTINCT f.image_id, f.finding_id FROM ff f JOIN ex ON f.image_id = ex.image_id AND f.y = ex.y AND {P.overlap_sql('f', 'ex')} > 0.3),
+al2 AS (SELECT ff.image_id, count(*) AS fn, count(*) - count(hit.finding_id) AS fa FROM ff LEFT JOIN hit USING (image_id, finding_id) GROUP BY 1),
+im AS (SELECT image_id, count(*) FILTER (WHERE sensitive) AS s, count(*) FILTER (WHERE sensitive AND c1 < 0.85) AS f, count(*) FILTER (WHERE sensitive AND c2 < 0.85) AS e, count(*) FILTER (WHERE NOT sensitive) AS n, count(*) FILTER (WHERE NOT sensitive AND c1 > 0.5) AS o,
+ sum(w * h * (1 - c2)) FILTER (WHERE sensitive AND NOT rotated) AS lk, sum(w * h) FILTER (WHERE sensitive AND NOT rotated) AS ar FROM sc GROUP BY 1),
+im2 AS (SELECT im.*, fn, fa FROM im LEFT JOIN al2 USING (image_id)), ev AS (SELECT * FROM im2 WHERE CAST(image_id AS BIGINT) % 2 = 0), a AS ({_FIG.format('im2')}), b AS ({_FIG.format('ev')}),
+t(figure, tolerance) AS (VALUES {", ".join(f"('{n}', {v})" for n, v in S.GATE_RULES)})
 SELECT figure, a.value, b.value AS base, CASE WHEN a.value > b.value + tolerance THEN '✗' WHEN a.value < b.value THEN '↑' ELSE '✓' END AS state FROM a JOIN b USING (figure) JOIN t USING (figure)"""
 
 
 def a11_timing(spark, sf_dir):
     """Upper median of a value per kind of event."""
-    return M.upper_median(P.read(spark, sf_dir, "events"), "value", "event_type")
+    return M.large_upper_median(P.read(spark, sf_dir, "events"), "value", "event_type")
 
 
 A11_SQL = "SELECT event_type, list_sort(list(value))[(count(*) // 2 + 1)::BIGINT] AS median FROM events GROUP BY 1"
@@ -245,15 +262,16 @@ A11_SQL = "SELECT event_type, list_sort(list(value))[(count(*) // 2 + 1)::BIGINT
 
 def a12_replica(spark, sf_dir):
     truth, masks, _ = _truth(spark, sf_dir)
-    replaced = masks.select("image_id", "x", "y", "w", "h", F.col("text").alias("original"), F.when(F.col("mask_id") % 9 == 0, F.col("text")).otherwise("x").alias("synthetic"))
+    k = F.col("mask_id")
+    replaced = masks.select("image_id", "x", "y", "w", "h", F.when(k % 5 != 0, F.col("text")).otherwise("").alias("original"), F.when(k % 9 == 0, F.col("text")).when(k % 5 == 0, "").otherwise("x").alias("synthetic"), (k % 10 == 0).alias("keep"), (k % 20 == 0).alias("same"))
     return S.replica_score(replaced, truth)
 
 
-A12_SQL = f"""WITH {TRUTH}, cm2 AS (SELECT image_id, x, y, CASE WHEN d = 1 THEN w * 0.75 ELSE w END AS w, h, mask_id % 9 = 0 AS same FROM dm WHERE d <> 0),
-held AS (SELECT DISTINCT truth.image_id, truth.word_id FROM truth JOIN cm2 b ON sensitive AND truth.image_id = b.image_id AND truth.y = b.y AND {P.inside_sql('truth', 'b')}),
+A12_SQL = f"""WITH {TRUTH}, cm2 AS (SELECT image_id, x, y, CASE WHEN d = 1 THEN w * 0.75 ELSE w END AS w, h, mask_id % 10 <> 0 OR mask_id % 20 = 0 AS covers, mask_id % 20 = 0 OR (mask_id % 9 = 0 AND mask_id % 5 <> 0) AS same FROM dm WHERE d <> 0),
+held AS (SELECT DISTINCT truth.image_id, truth.word_id FROM truth JOIN cm2 b ON sensitive AND covers AND truth.image_id = b.image_id AND truth.y = b.y AND truth.x + truth.w / 2 > b.x AND truth.x + truth.w / 2 < b.x + b.w),
 wd AS (SELECT truth.image_id, count(*) AS words, count(*) - count(held.word_id) AS exposed FROM truth LEFT JOIN held USING (image_id, word_id) WHERE sensitive GROUP BY 1),
 bx AS (SELECT image_id, count(*) AS boxes, count(*) FILTER (WHERE same) AS unchanged FROM cm2 GROUP BY 1), j AS (SELECT coalesce(wd.image_id, bx.image_id) AS image_id, coalesce(words, 0) AS words, coalesce(exposed, 0) AS exposed, coalesce(boxes, 0) AS boxes, coalesce(unchanged, 0) AS unchanged FROM wd FULL JOIN bx USING (image_id))
-SELECT image_id, sum(words)::BIGINT AS words, sum(exposed)::BIGINT AS exposed, sum(boxes)::BIGINT AS boxes, sum(unchanged)::BIGINT AS unchanged, CASE WHEN sum(words) > 0 THEN floor(sum(exposed) / sum(words) * 10000 + 0.5) / 100 END AS exposed_pct FROM j GROUP BY GROUPING SETS ((image_id), ())"""
+SELECT image_id, sum(words)::BIGINT AS words, sum(exposed)::BIGINT AS exposed, sum(boxes)::BIGINT AS boxes, sum(unchanged)::BIGINT AS unchanged, floor(1000 * sum(exposed) / greatest(sum(words), 1) + 0.5) / 10 AS exposed_pct FROM j GROUP BY GROUPING SETS ((image_id), ())"""
 
 QUERIES = {
     "j12_candidates": j12_candidates, "j12_verify": j12_verify, "j13_rereads_safe": j13_rereads, "a3_gate": a3_gate, "a4_hide_uncertain": a4_hide, "a5_receipts": a5_receipts, "w2_rank_findings": w2_rank, "w3_top_k": w3_top,

@@ -40,7 +40,8 @@ T1_SQL = rf"""WITH {W} SELECT text, {P.clean_sql('text')} AS clean, {P.core_sql(
 
 
 def t2_classify(spark, sf_dir):
-    return M.typed(P.document_words(spark, sf_dir)).groupBy("text", "type").agg(F.count("*").alias("n"))
+    """Tokens are counted first: each distinct one is classified once."""
+    return M.typed(P.document_words(spark, sf_dir).groupBy("text").agg(F.count("*").alias("n"))).select("text", "type", "n")
 
 
 def _policies(spark, sf_dir) -> DataFrame:
@@ -81,39 +82,47 @@ G3_SQL = f"WITH {MASKS} SELECT image_id, mask_id, type, x - greatest(3, h * 0.18
 
 
 def a1_counts(spark, sf_dir):
-    return M.mask_counts(_masks(spark, sf_dir), "image_id")
+    return M.mask_counts(_active(_masks(spark, sf_dir)), "image_id")
 
 
-A1_SQL = f"WITH {MASKS} SELECT image_id, type, count(*) AS n_masks FROM masks GROUP BY CUBE (image_id, type)"
 
 
 def _active(masks: DataFrame) -> DataFrame:
-    """A user's decisions, drawn by hash: one mask in eleven is switched off, one in thirteen was drawn by hand."""
+    """A user's decisions, drawn by hash: one mask in eleven is switched off; some were drawn by hand or added later."""
     d = P.draw(F.col("image_id"), F.col("mask_id").cast("string"), "user")
-    return masks.withColumn("user_off", d % 11 == 0).withColumn("src", F.when(d % 13 == 0, "manual").otherwise("auto")).withColumn("on", d % 11 != 0)
+    return masks.withColumn("user_off", d % 11 == 0).withColumn("src", F.when(d % 13 == 0, "manual").when(d % 17 == 0, "check").when(d % 19 == 0, "user").otherwise("auto")).withColumn("on", d % 11 != 0)
 
 
-ACTIVE_SQL = f"act AS (SELECT *, d % 11 = 0 AS user_off, CASE WHEN d % 13 = 0 THEN 'manual' ELSE 'auto' END AS src, d % 11 <> 0 AS \"on\" FROM (SELECT *, {P.draw_sql('image_id', 'CAST(mask_id AS VARCHAR)', chr(39) + 'user' + chr(39))} AS d FROM masks))"
+ACTIVE_SQL = f"act AS (SELECT *, d % 11 = 0 AS user_off, CASE WHEN d % 13 = 0 THEN 'manual' WHEN d % 17 = 0 THEN 'check' WHEN d % 19 = 0 THEN 'user' ELSE 'auto' END AS src, d % 11 <> 0 AS \"on\" FROM (SELECT *, {P.draw_sql('image_id', 'CAST(mask_id AS VARCHAR)', chr(39) + 'user' + chr(39))} AS d FROM masks))"
+A1_SQL = f"WITH {MASKS}, {ACTIVE_SQL} SELECT image_id, type, count(*) AS n_masks FROM act WHERE \"on\" GROUP BY CUBE (image_id, type)"
 HIDDEN_SQL = f"hid AS (SELECT DISTINCT words.image_id, words.word_id FROM words JOIN act ON words.image_id = act.image_id AND act.y = words.y AND act.\"on\" AND {P.inside_sql('words', 'act')})"
 
 
+def _ghostly(words: DataFrame) -> DataFrame:
+    """One word in seventeen is a ghost, drawn by hash."""
+    return words.withColumn("ghost", P.draw(F.col("image_id"), F.col("word_id").cast("string"), "ghost") % 17 == 0)
+
+
+REAL_SQL = f"rw AS (SELECT * FROM words WHERE {P.draw_sql('image_id', 'CAST(word_id AS VARCHAR)', chr(39) + 'ghost' + chr(39))} % 17 <> 0)"
+
+
 def a2_tally(spark, sf_dir):
     words = P.document_words(spark, sf_dir)
-    return M.tally(words, _active(M.build_masks(M.typed(words))))
+    return M.tally(_ghostly(words), _active(M.build_masks(M.typed(words))))
 
 
-A2_SQL = f"""WITH {MASKS}, {ACTIVE_SQL}, {HIDDEN_SQL},
-c AS (SELECT words.image_id, count(hid.word_id) AS hidden, count(*) - count(hid.word_id) AS kept FROM words LEFT JOIN hid USING (image_id, word_id) GROUP BY 1),
+A2_SQL = f"""WITH {MASKS}, {ACTIVE_SQL}, {HIDDEN_SQL}, {REAL_SQL},
+c AS (SELECT rw.image_id, count(hid.word_id) AS hidden, count(*) - count(hid.word_id) AS kept FROM rw LEFT JOIN hid USING (image_id, word_id) GROUP BY 1),
 y AS (SELECT image_id, count(*) FILTER (WHERE user_off OR src IN ('manual', 'check', 'user')) AS yours FROM act GROUP BY 1)
 SELECT image_id, hidden, kept, coalesce(yours, 0)::BIGINT AS yours FROM c LEFT JOIN y USING (image_id)"""
 
 
 def s9_published(spark, sf_dir):
     words = P.document_words(spark, sf_dir)
-    return M.published_words(words, _active(M.build_masks(M.typed(words))))
+    return M.published_words(_ghostly(words), _active(M.build_masks(M.typed(words))))
 
 
-S9_SQL = f"WITH {MASKS}, {ACTIVE_SQL}, {HIDDEN_SQL} SELECT words.image_id, words.word_id, CASE WHEN hid.word_id IS NULL THEN text ELSE '' END AS text, x, y, w, h, hid.word_id IS NULL AS kept FROM words LEFT JOIN hid USING (image_id, word_id)"
+S9_SQL = f"WITH {MASKS}, {ACTIVE_SQL}, {HIDDEN_SQL}, {REAL_SQL} SELECT rw.image_id, rw.word_id, CASE WHEN hid.word_id IS NULL THEN text ELSE '' END AS text, x, y, w, h, hid.word_id IS NULL AS kept FROM rw LEFT JOIN hid USING (image_id, word_id)"
 
 
 def w1_order(spark, sf_dir):
@@ -212,7 +221,7 @@ def u2_except(spark, sf_dir):
     return G.except_contained(words.select("image_id", "word_id", "x", "y", "w", "h"), masks, "word_id").select("image_id", "word_id")
 
 
-U2_SQL = f"""WITH {MASKS}, pad AS (SELECT image_id, floor(y / 30) AS l, x - 3 AS x, y - 3 AS y, w + 6 AS w, h + 6 AS h FROM masks), c AS (SELECT * FROM words WHERE word_id % 2 = 0)
+U2_SQL = f"""WITH {MASKS}, pad AS (SELECT image_id, floor(y / 30) AS l, x - 3 AS x, y - 3 AS y, w + 6 AS w, h + 6 AS h FROM masks), c AS (SELECT * FROM words)
 SELECT image_id, word_id FROM c ANTI JOIN (SELECT DISTINCT c.image_id, c.word_id FROM c JOIN pad m ON c.image_id = m.image_id AND c.line_no = m.l AND m.x <= c.x + 1 AND m.y <= c.y + 1 AND m.x + m.w >= c.x + c.w - 1 AND m.y + m.h >= c.y + c.h - 1) k USING (image_id, word_id)"""
 
 

@@ -118,8 +118,9 @@ def t17_scrub(spark, sf_dir):
     return docs.select("doc_id", T.scrub("text").alias("scrubbed"))
 
 
-T17_SQL = r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(sk|pk|key|token|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{8,}|AKIA[0-9A-Z]{12,}|[A-Fa-f0-9]{32,}', '[key]', 'g'),
- '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), 'https?://[^ \t\n]+', '[link]', 'g') AS scrubbed FROM documents"""
+T17_SQL = rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), 'sk-[A-Za-z0-9_-]{{8,}}', '[key removed]', 'g'), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+', '[email removed]', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, 'http(s?://[^{T.JS_WS})]*localhost)', chr(1) || '\1', 'g') AS t FROM a)
+SELECT doc_id, substr(replace(regexp_replace(t, 'https?://[^{T.JS_WS})]+', '[link removed]', 'g'), chr(1), 'http'), 1, 400) AS scrubbed FROM b"""
 
 
 def t18_quotes(spark, sf_dir):
@@ -218,28 +219,22 @@ g AS (SELECT seq, min(i % 8) FILTER (WHERE d > 24) AS x1, max(i % 8) FILTER (WHE
 SELECT seq, greatest(x1 - 1, 0)::INT AS x, greatest(y1 - 1, 0)::INT AS y, (least(x2 + 2, 8) - greatest(x1 - 1, 0))::INT AS w, (least(y2 + 2, 8) - greatest(y1 - 1, 0))::INT AS h, round(delta, 6) AS delta FROM g"""
 
 
-def _once(stream, name: str):
-    """Runs a stream over what is there and returns its output table."""
-    spark = stream.sparkSession
+def _replayed(spark, parts, transform, name: str):
+    """What a stream writes while ``parts`` arrive one after the other; its state and watermark live on between them."""
     from maskwright.plans.store import shared_path
 
-    out, state = shared_path(spark, name), shared_path(spark, name + "-state")
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
-
-
-def _stream(spark, df, name: str):
-    from maskwright.plans.store import shared_path
-
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    path, out, state = (shared_path(spark, f"{name}-{x}") for x in ("in", "out", "state"))
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        stream = transform(spark.readStream.schema(part.schema).parquet(path))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def r2_watch(spark, sf_dir):
     kind = F.when(F.col("seq") % 5 == 0, "read").when(F.col("seq") % 7 == 0, "failed").otherwise("drawn")
     events = _thumbs(spark, sf_dir).select("canvas_id", "seq", kind.alias("kind"), "sig")
-    return _once(R.watch_redraws(_stream(spark, events, "r2"), 8), "r2out")
+    return _replayed(spark, [events], lambda e: R.watch_redraws(e, 8), "r2")
 
 
 def r3_latest(spark, sf_dir):
@@ -251,22 +246,30 @@ R3_SQL = "SELECT CAST(user_id AS VARCHAR) AS canvas_id, max(event_id) AS seq, ar
 
 
 def r3_latest_stream(spark, sf_dir):
-    """The stream's last row of each canvas is the batch's."""
+    """Every third event arrives late: of those, only what is newer than all that came before for its user is let through."""
     e = P.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("canvas_id"), F.col("event_id").alias("seq"), "value")
-    return R.latest_run(_once(R.latest_run_stream(_stream(spark, e, "r3")), "r3out"))
+    return _replayed(spark, [e.filter("seq % 3 != 0"), e.filter("seq % 3 = 0")], R.latest_run_stream, "r3")
+
+
+R3_STREAM_SQL = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS canvas_id, event_id AS seq, value FROM events), seen AS (SELECT canvas_id, max(seq) AS last FROM e WHERE seq % 3 <> 0 GROUP BY 1)
+SELECT e.* FROM e LEFT JOIN seen USING (canvas_id) WHERE seq % 3 <> 0 OR last IS NULL OR seq > last"""
 
 
 def _event_texts(spark, sf_dir):
-    return P.read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string"), F.lit("total"), F.round("value", 2).cast("decimal(18,2)").cast("string")).alias("text"))
+    return P.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string"), F.lit("total"), F.round("value", 2).cast("decimal(18,2)").cast("string")).alias("text"))
 
 
 def r4_mask_stream(spark, sf_dir):
-    """Counts of the windows that the watermark has closed after all events are in."""
-    return R.mask_stream(_event_texts(spark, sf_dir)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Counts of the windows that the watermark closes; every fourth event arrives late, and counts only in open windows."""
+    e = _event_texts(spark, sf_dir)
+    out = _replayed(spark, [e.filter("id % 4 != 0"), e.filter("id % 4 = 0")], R.mask_stream, "r4")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-_EV = "ev AS (SELECT ts, unnest([event_type, CAST(user_id AS VARCHAR), 'total', 'num']) AS word FROM events), "
-R4_SQL = f"WITH {_EV} k AS (SELECT word, CASE WHEN word = 'num' THEN '{T.NUMBER}' ELSE {P.classify_sql('word')} END AS type FROM (SELECT DISTINCT word FROM ev)) SELECT time_bucket(INTERVAL 5 MINUTE, ts::TIMESTAMP) AS start, type, count(*) AS n FROM ev JOIN k USING (word) WHERE type IS NOT NULL GROUP BY 1, 2"
+R4_SQL = f"""WITH ev AS (SELECT event_id, ts::TIMESTAMP AS ts, time_bucket(INTERVAL 5 MINUTE, ts::TIMESTAMP) AS start, unnest([event_type, CAST(user_id AS VARCHAR), 'total', 'num']) AS word FROM events),
+m AS (SELECT max(ts) FILTER (WHERE event_id % 4 <> 0) - INTERVAL 10 MINUTE AS first, max(ts) - INTERVAL 10 MINUTE AS final FROM ev),
+k AS (SELECT word, CASE WHEN word = 'num' THEN '{T.NUMBER}' ELSE {P.classify_sql('word')} END AS type FROM (SELECT DISTINCT word FROM ev))
+SELECT start, type, count(*) AS n FROM ev JOIN k USING (word), m WHERE type IS NOT NULL AND start + INTERVAL 5 MINUTE <= date_trunc('millisecond', final) AND (event_id % 4 <> 0 OR start + INTERVAL 5 MINUTE > date_trunc('millisecond', first)) GROUP BY 1, 2"""
 
 QUERIES = {
     "t5_singular": t5_singular, "t6_roles": t6_roles, "t6_box_roles": t6_box_roles, "t7_parse_date": t7_dates, "t8_shift_date": t8_shift, "t9_date_order": t9_order, "t16_industry": t16_industry, "t16_locale": t16_locale,
@@ -275,5 +278,5 @@ QUERIES = {
 }
 SQL = {
     "t5_singular": T5_SQL, "t6_roles": T6_SQL, "t7_parse_date": T7_SQL, "t8_shift_date": T8_SQL, "t9_date_order": T9_SQL, "t16_industry": T16_SQL, "t16_locale": T16L_SQL, "t17_scrub": T17_SQL, "t19_near_words": T19_SQL,
-    "m1_person_org": M1_SQL, "m3_context_hits": M3_SQL, "m4_ctc_decode": M4_SQL, "m5_scorer": M5_SQL, "r1_changed_box": R1_SQL, "r3_latest_run": R3_SQL, "r3_latest_run_stream": R3_SQL, "r4_mask_stream": R4_SQL,
+    "m1_person_org": M1_SQL, "m3_context_hits": M3_SQL, "m4_ctc_decode": M4_SQL, "m5_scorer": M5_SQL, "r1_changed_box": R1_SQL, "r3_latest_run": R3_SQL, "r3_latest_run_stream": R3_STREAM_SQL, "r4_mask_stream": R4_SQL,
 }
