@@ -9,8 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Rows of an Arrow batch, where the session has Spark's default.
-BATCH_ROWS = "2000"
+#: Rows and bytes of an Arrow batch, where the session has Spark's default of rows.
+BATCH_ROWS, BATCH_BYTES = "2000", "2m"
 
 _shipped: set[str] = set()
 
@@ -20,6 +20,7 @@ def ship(spark: SparkSession) -> None:
     # bounded Arrow batches: documents are kilobytes, and a worker holds a few batches at a time
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
