@@ -128,7 +128,7 @@ def kept_words(words: DataFrame, allow: Sequence[str] = NEUTRAL) -> DataFrame:
 def upper_median(df: DataFrame, value: str, key: str = "image_id", name: str = "median") -> DataFrame:
     """Per key the upper median of its values. For groups as large as a page; see ``large_upper_median``."""
     ordered = F.sort_array(F.collect_list(value))
-    return df.groupBy(key).agg(F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int")).alias(name))
+    return df.groupBy(key).agg(F.get(ordered, F.floor(F.size(ordered) / 2).cast("int")).alias(name))
 
 
 def large_upper_median(df: DataFrame, value: str, key: str, name: str = "median") -> DataFrame:
