@@ -82,3 +82,43 @@ def fake_value(c: Column, seed: int | Column) -> Column:
     bound = F.transform(F.array(pieces), lambda p: F.array_join(F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: one(p, i)), ""))
     return F.when(c.rlike("[0-9]"), F.element_at(bound, 1)).otherwise(c)
 
+
+#: Draws of a scale for joined ticks.
+TICK_TRIES = 40
+
+
+def two_digits(x: Column) -> Column:
+    """``x`` rounded to its first two digits."""
+    p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 1)
+    return F.when(x == 0, x).otherwise(F.floor(x / p + 0.5) * p)
+
+
+def fake_ticks(c: Column, seed: int | Column) -> Column:
+    """Three or more evenly stepped numbers in one text ("0 20 40 60") as another even scale; null where the text is none.
+
+    As many numbers and decimals, thousands separated if they were; a scale from 0 starts at 0 again; no number is negative;
+    the text is never the same and about as long. Steps are whole units of the last decimal, so that the scale stays even.
+    """
+    ticks = F.split(F.trim(c), r"\s+")
+    joined = F.array_join(ticks, " ")
+    plain = (F.size(ticks) >= 3) & F.forall(ticks, lambda t: t.rlike(r"\A[0-9][0-9,]*(\.[0-9]+)?\z") & (F.length(F.regexp_replace(t, "[^0-9]", "")) <= 12))
+    vals = F.transform(ticks, lambda t: F.regexp_replace(t, ",", "").try_cast("double"))
+    first, step = F.get(vals, F.lit(0)), F.get(vals, F.lit(1)) - F.get(vals, F.lit(0))
+    even = (step != 0) & F.forall(F.transform(vals, lambda v, i: F.abs(v - first - i * step)), lambda d: d <= F.abs(step) * 0.01)
+    dec = F.array_max(F.transform(ticks, lambda t: F.length(F.regexp_extract(t, r"\.([0-9]+)\z", 1))))
+    unit = F.pow(F.lit(10.0), dec)
+
+    def drawn(k: Column) -> Column:
+        u = lambda what: _unit(joined, seed, F.concat(F.lit(what), k.cast("string")))
+        factor = F.when(u("tick f") < 0.5, 0.55 + u("tick r") * 0.3).otherwise(1.18 + u("tick r") * 0.62)
+        whole = lambda x: F.floor(two_digits(x) * unit + 0.5)
+        begin, by = F.when(first == 0, F.lit(0).cast("bigint")).otherwise(whole(first * factor)), whole(step * factor)
+        return F.transform(F.sequence(F.lit(0), F.size(ticks) - 1), lambda i: begin + i * by)
+
+    def shown(scale: Column) -> Column:
+        text = lambda v: F.call_function("format_number", (v / unit).cast("decimal(30,12)"), dec)
+        return F.array_join(F.transform(scale, lambda v: F.when(F.contains(joined, F.lit(",")), text(v)).otherwise(F.regexp_replace(text(v), ",", ""))), " ")
+
+    scales = F.filter(F.transform(F.sequence(F.lit(0), F.lit(TICK_TRIES - 1)), drawn), lambda s: F.forall(s, lambda v: v >= 0) & (F.get(s, F.lit(1)) != F.get(s, F.lit(0))))
+    fits = lambda t: (t != joined) & (F.abs(F.length(t) - F.length(joined)) <= F.greatest(F.lit(2.0), F.length(joined) * 0.08))
+    return F.when(plain & even, F.get(F.filter(F.transform(scales, shown), fits), F.lit(0)))
