@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.dates import MONTHS, parse_date
+from maskwright.functions.fakes import ID_SHAPE, fake_id_digits
 from maskwright.functions.labels import role_of
 from maskwright.functions.text import classify
 from maskwright.operators.geometry import BOX, near_pairs
@@ -160,3 +161,13 @@ def redraw_clashes(values: DataFrame, visible: DataFrame, key: str = "mask_id")
     seen = taboo(visible, F.lit(True))
     once = choose([seen]).select("image_id", F.col(key).alias("word_id"), F.col("made").alias("text"), *BOX)
     return choose([seen, taboo(once, _w("word_id") < _m(key))]).select("image_id", key, "made")
+
+
+def fake_ids(tokens: DataFrame, seed: int, key: str = "mask_id", least: int = 3) -> DataFrame:
+    """(image_id, key, made): ids whose prefix ``least`` ids of the page share keep it and get other digits; for others null."""
+    prefix = F.regexp_extract(F.trim("text"), ID_SHAPE, 1)
+    own = tokens.select("image_id", key, "text", F.when(prefix != "", prefix).alias("prefix"))
+    counts = own.filter("prefix is not null").groupBy("image_id", "prefix").agg(F.count("*").alias("n"))
+    both = own.join(counts, ["image_id", "prefix"], "left")
+    made = fake_id_digits(F.col("text"), F.concat_ws("|", F.col(key).cast("string"), "text"), seed)
+    return both.select("image_id", key, F.when(F.col("n") >= least, made).alias("made"))
