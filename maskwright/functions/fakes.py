@@ -106,8 +106,8 @@ def fake_entity(role: str, key: Column, seed: int, locale: str = "en", industry:
             raise ValueError(f"no such role: {role}")
         return pick(lists[role], role)
 
-    tries = F.array(*(one(i) for i in range(1 + REDRAWS)))
-    return F.coalesce(F.get(F.filter(tries, lambda v: ~looks_real(v, brands)), F.lit(0)), F.lit("Example"))
+    free = lambda v: F.get(F.filter(F.array(v), lambda x: ~looks_real(x, brands)), F.lit(0))
+    return F.coalesce(*(free(one(i)) for i in range(1 + REDRAWS)), F.lit("Example"))
 
 
 def fitted(role: str, original: Column, key: Column, seed: int, **options) -> Column:
@@ -117,17 +117,14 @@ def fitted(role: str, original: Column, key: Column, seed: int, **options) -> Co
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) >= 3)
     size = F.length(original)
     most = size * 1.15 + 1
-
-    def drawn(i: Column) -> Column:
-        value = fake_entity(role, F.when(i == 0, key).otherwise(F.concat(key, F.lit("#"), i.cast("string"))), seed, **options)
-        return F.transform(F.array(value), lambda v: F.struct(F.when(F.length(v) > size, 2 * (F.length(v) - size)).otherwise(size - F.length(v)).alias("cost"), i.alias("i"), v.alias("v")))
-
-    draws = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(FITTED_DRAWS - 1)), drawn))
-    fair = F.filter(draws, lambda d: (F.lower(d["v"]) != F.lower(original)) & ~F.arrays_overlap(words(d["v"]), words(original)))
-    near = F.get(F.filter(fair, lambda d: d["cost"] <= F.greatest(F.lit(1.0), size * 0.1)), F.lit(0))
-    best = F.split(F.coalesce(near, F.array_min(fair))["v"], " ")
-    heads = F.transform(F.sequence(F.lit(0), F.size(best) - 1), lambda i: F.array_join(F.slice(best, F.lit(1), F.size(best) - i), " "))
-    return F.when(F.size(fair) > 0, F.get(F.filter(heads, lambda t: F.length(t) <= most), F.lit(0)))
+    bound = lambda c, then: F.get(F.transform(F.array(c), then), F.lit(0))
+    names = F.transform(F.sequence(F.lit(0), F.lit(FITTED_DRAWS - 1)), lambda i: fake_entity(role, F.when(i == 0, key).otherwise(F.concat(key, F.lit("#"), i.cast("string"))), seed, **options))
+    costs = lambda v, i: F.struct(F.when(F.length(v) > size, 2 * (F.length(v) - size)).otherwise(size - F.length(v)).alias("cost"), i.alias("i"), v.alias("v"))
+    fair = lambda own: F.filter(F.transform(names, costs), lambda d: (F.lower(d["v"]) != F.lower(original)) & ~F.arrays_overlap(words(d["v"]), own))
+    best = lambda draws: F.coalesce(F.get(F.filter(draws, lambda d: d["cost"] <= F.greatest(F.lit(1.0), size * 0.1)), F.lit(0)), F.array_min(draws))
+    heads = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_join(F.slice(w, F.lit(1), F.size(w) - i), " "))
+    chosen = bound(bound(words(original), fair), best)
+    return bound(F.split(chosen["v"], " "), lambda w: F.when(w.isNotNull(), F.get(F.filter(heads(w), lambda t: F.length(t) <= most), F.lit(0))))
 
 
 def fake_title(c: Column, seed: int) -> Column:

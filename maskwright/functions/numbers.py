@@ -100,25 +100,34 @@ def fake_ticks(c: Column, seed: int | Column) -> Column:
     the text is never the same and about as long. Steps are whole units of the last decimal, so that the scale stays even.
     """
     ticks = F.split(F.trim(c), r"\s+")
-    joined = F.array_join(ticks, " ")
-    plain = (F.size(ticks) >= 3) & F.forall(ticks, lambda t: t.rlike(r"\A[0-9][0-9,]*(\.[0-9]+)?\z") & (F.length(F.regexp_replace(t, "[^0-9]", "")) <= 12))
-    vals = F.transform(ticks, lambda t: F.regexp_replace(t, ",", "").try_cast("double"))
-    first, step = F.get(vals, F.lit(0)), F.get(vals, F.lit(1)) - F.get(vals, F.lit(0))
-    even = (step != 0) & F.forall(F.transform(vals, lambda v, i: F.abs(v - first - i * step)), lambda d: d <= F.abs(step) * 0.01)
-    dec = F.array_max(F.transform(ticks, lambda t: F.length(F.regexp_extract(t, r"\.([0-9]+)\z", 1))))
-    unit = F.pow(F.lit(10.0), dec)
-
-    def drawn(k: Column) -> Column:
-        u = lambda what: _unit(joined, seed, F.concat(F.lit(what), k.cast("string")))
-        factor = F.when(u("tick f") < 0.5, 0.55 + u("tick r") * 0.3).otherwise(1.18 + u("tick r") * 0.62)
-        whole = lambda x: F.floor(two_digits(x) * unit + 0.5)
-        begin, by = F.when(first == 0, F.lit(0).cast("bigint")).otherwise(whole(first * factor)), whole(step * factor)
-        return F.transform(F.sequence(F.lit(0), F.size(ticks) - 1), lambda i: begin + i * by)
-
-    def shown(scale: Column) -> Column:
-        text = lambda v: F.call_function("format_number", (v / unit).cast("decimal(30,12)"), dec)
-        return F.array_join(F.transform(scale, lambda v: F.when(F.contains(joined, F.lit(",")), text(v)).otherwise(F.regexp_replace(text(v), ",", ""))), " ")
-
-    scales = F.filter(F.transform(F.sequence(F.lit(0), F.lit(TICK_TRIES - 1)), drawn), lambda s: F.forall(s, lambda v: v >= 0) & (F.get(s, F.lit(1)) != F.get(s, F.lit(0))))
-    fits = lambda t: (t != joined) & (F.abs(F.length(t) - F.length(joined)) <= F.greatest(F.lit(2.0), F.length(joined) * 0.08))
-    return F.when(plain & even, F.get(F.filter(F.transform(scales, shown), fits), F.lit(0)))
+    plain = c.rlike(r"\A\s*[0-9][0-9,]*(\.[0-9]+)?(\s+[0-9][0-9,]*(\.[0-9]+)?){2,}\s*\z") & F.forall(ticks, lambda t: F.length(F.regexp_replace(t, "[^0-9]", "")) <= 12)
+    decimals = F.array_max(F.transform(ticks, lambda t: F.length(F.regexp_extract(t, r"\.([0-9]+)\z", 1))))
+    read = F.struct(F.array_join(ticks, " ").alias("joined"), F.transform(ticks, lambda t: F.regexp_replace(t, ",", "").try_cast("double")).alias("vals"), decimals.alias("dec"))
+
+    def scaled(t: Column) -> Column:
+        """Of the draws the first that fits."""
+        joined, vals, dec, first = t["joined"], t["vals"], t["dec"], F.get(t["vals"], F.lit(0))
+        step, unit = F.get(vals, F.lit(1)) - first, F.pow(F.lit(10.0), dec)
+        even = (step != 0) & F.forall(F.transform(vals, lambda v, i: F.abs(v - first - i * step)), lambda d: d <= F.abs(step) * 0.01)
+
+        def drawn(k: Column) -> Column:
+            u = lambda what: _unit(joined, seed, F.concat(F.lit(what), k.cast("string")))
+            factor = F.when(u("tick f") < 0.5, 0.55 + u("tick r") * 0.3).otherwise(1.18 + u("tick r") * 0.62)
+            whole = lambda x: F.floor(two_digits(x) * unit + 0.5)
+            return _bound(factor, lambda f: F.struct(F.when(first == 0, F.lit(0).cast("bigint")).otherwise(whole(first * f)).alias("begin"), whole(step * f).alias("by")))
+
+        def shown(s: Column) -> Column:
+            text = lambda v: F.call_function("format_number", (v / unit).cast("decimal(30,12)"), dec)
+            scale = F.array_join(F.transform(vals, lambda _, i: text(s["begin"] + i * s["by"])), " ")
+            return F.when(F.contains(joined, F.lit(",")), scale).otherwise(F.regexp_replace(scale, ",", ""))
+
+        scales = F.filter(F.transform(F.sequence(F.lit(0), F.lit(TICK_TRIES - 1)), drawn), lambda s: (s["by"] != 0) & (s["begin"] >= 0) & (s["begin"] + (F.size(vals) - 1) * s["by"] >= 0))
+        fits = lambda x: (x != joined) & (F.abs(F.length(x) - F.length(joined)) <= F.greatest(F.lit(2.0), F.length(joined) * 0.08))
+        return F.when(even, F.get(F.filter(F.transform(scales, shown), fits), F.lit(0)))
+
+    return F.when(plain, _bound(read, scaled))
+
+
+def _bound(c: Column, then) -> Column:
+    """``then`` of a column that is computed once."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))

@@ -59,7 +59,7 @@ def t13_entities(spark, sf_dir):
 def _entity_sql(role: str, key: str, seed: int, i: str, industry: str = "general") -> str:
     """One draw of a role as SQL; ``i`` is the number of the draw."""
     at = lambda part: P.draw_sql(key, f"'{seed}'", f"'{role}:en:{part}:' || {i}")
-    pick = lambda values, part: f"{P.list_sql(values)}[1 + {at(part)} % {len(values)}]"
+    pick = lambda values, part: f"({P.list_sql(values)})[1 + {at(part)} % {len(values)}]"
     given, family = pick(K.GIVEN, "given"), pick(K.FAMILY, "family")
     return {
         "person": f"{given} || ' ' || {family}", "company": f"{family} || ' ' || {pick(K.ORGANISATIONS[industry], 'kind')}", "product": f"{pick(K.PRODUCTS, 'product')} || ' ' || ({at('model')} % 9 + 1)::VARCHAR",
@@ -110,7 +110,7 @@ def t15_titles(spark, sf_dir):
 
 
 _TITLE_TEXTS = ("Mr", "Mrs.", "ms", "Miss", "Dr.", "Prof", "Jr.", "SR", "II", "III", "IV", "MD", "PhD", "DDS", "DVM.", "Alma")
-T15_TITLES_SQL = f"""WITH c AS (SELECT c_custkey, {P.list_sql(_TITLE_TEXTS)}[1 + c_custkey % {len(_TITLE_TEXTS)}] AS text FROM customer), b AS (SELECT *, regexp_replace(text, '\\.$', '') AS bare FROM c),
+T15_TITLES_SQL = f"""WITH c AS (SELECT c_custkey, ({P.list_sql(_TITLE_TEXTS)})[(1 + c_custkey % {len(_TITLE_TEXTS)})::INT] AS text FROM customer), b AS (SELECT *, regexp_replace(text, '\\.$', '') AS bare FROM c),
 s AS (SELECT *, CASE WHEN list_contains({P.list_sql(n.lower() for n in K.HONORIFICS)}, lower(bare)) THEN {P.list_sql(K.HONORIFICS)} WHEN list_contains({P.list_sql(n.lower() for n in K.SUFFIXES)}, lower(bare)) THEN {P.list_sql(K.SUFFIXES)} END AS names FROM b),
 o AS (SELECT *, list_filter(names, lambda n: lower(n) <> lower(bare) AND abs(length(n) - length(bare)) <= 1) AS others FROM s)
 SELECT c_custkey, text, others[1 + {P.draw_sql('lower(bare)', "'2'", "'title'")} % greatest(len(others), 1)] || CASE WHEN text LIKE '%.' THEN '.' ELSE '' END AS fake FROM o"""
@@ -172,7 +172,7 @@ def j15_redraw(spark, sf_dir):
 
 
 POOL6 = ("river", "stone", "cloud bridge", "meadow", "up", "stone field")
-_P6 = lambda what: f"{P.list_sql(POOL6)}[1 + {P.draw_sql('image_id', 'CAST(word_id AS VARCHAR)', chr(39) + what + chr(39))} % 6]"
+_P6 = lambda what: f"({P.list_sql(POOL6)})[1 + {P.draw_sql('image_id', 'CAST(word_id AS VARCHAR)', chr(39) + what + chr(39))} % 6]"
 _WORDS3 = lambda c: f"list_filter(string_split(coalesce({c}, ''), ' '), lambda v: length(v) >= 3)"
 J15_SQL = f"""WITH {W}, a15 AS (SELECT *, {P.draw_sql('image_id', 'CAST(word_id AS VARCHAR)', chr(39) + 'made' + chr(39))} % 2 = 0 AS mk, {_P6('p0')} AS p0, {_P6('p1')} AS p1, {_P6('p2')} AS p2 FROM words),
 b15 AS (SELECT *, lag(p0) OVER q AS lp, lag(mk) OVER q AS lm, x - lag(x + w) OVER q < 18 AS ln, lead(p0) OVER q AS np, lead(mk) OVER q AS nm, lead(x) OVER q - (x + w) < 18 AS nn FROM a15 WINDOW q AS (PARTITION BY image_id, line_no ORDER BY x)),
@@ -198,8 +198,8 @@ J16_SQL = "SELECT CAST(o_orderkey AS VARCHAR) AS image_id, m AS mask_id FROM ord
 
 
 def g7_axes(spark, sf_dir):
-    """Scales drawn for orders: upwards in a column, from 0 or not, with a tick missing or one that breaks the row."""
-    o = P.read(spark, sf_dir, "orders").select(_key("o_orderkey"), F.col("o_orderkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    """Scales drawn for customers: upwards in a column, from 0 or not, with a tick missing or one that breaks the row."""
+    o = P.read(spark, sf_dir, "customer").select(_key("c_custkey"), F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
     value = F.when((F.col("k") % 5 == 1) & (F.col("i") == 5), F.col("i") * F.col("i") * 1000 + 7).otherwise((F.col("i") + F.col("k") % 2) * (F.col("k") % 7 + 1) * 100)
     return Z.axis_scales(o.filter("not (k % 3 = 0 and i = 2)").select("image_id", F.col("i").cast("long").alias("mask_id"), value.cast("string").alias("text"), F.lit(10.0).alias("x"), (300 - F.col("i") * 40.0).alias("y"), F.lit(28.0).alias("w"), F.lit(12.0).alias("h")), 3)
 
@@ -256,9 +256,9 @@ SELECT image_id, word_id, in_comment, cm_start, CASE WHEN type <> {P._q(TEXT)} T
 
 
 def g11_slanted(spark, sf_dir):
-    """Two pieces of a slanted label for every order, at gaps and turns of many sizes, and a level one."""
+    """Two pieces of a slanted label for every customer, at gaps and turns of many sizes, and a level one."""
     k = F.col("k")
-    o = P.read(spark, sf_dir, "orders").select(_key("o_orderkey"), F.col("o_orderkey").alias("k"))
+    o = P.read(spark, sf_dir, "customer").select(_key("c_custkey"), F.col("c_custkey").alias("k"))
     piece = lambda i, at, angle, across=0.0: F.struct(F.lit(i).cast("long").alias("region_id"), (at - across).cast("double").alias("x"), at.cast("double").alias("y"), angle.cast("double").alias("angle"))
     far = 20 + k % 13  # middles lie this far apart on both axes
     rows = F.array(piece(1, F.lit(100), F.lit(45.0)), piece(2, 100 + far, 45.0 + k % 11), piece(3, F.lit(500), F.lit(2.0)))
@@ -266,7 +266,7 @@ def g11_slanted(spark, sf_dir):
 
 
 #: Pieces 28 long: joined to a distance of 34.4 between the middles, if turned by 8 degrees at most.
-G11_SQL = """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS image_id, 20 + o_orderkey % 13 AS far, sqrt(2) * (20 + o_orderkey % 13) - 28 <= 6.4 AND o_orderkey % 11 <= 8 AS one FROM orders)
+G11_SQL = """WITH o AS (SELECT CAST(c_custkey AS VARCHAR) AS image_id, 20 + c_custkey % 13 AS far, sqrt(2) * (20 + c_custkey % 13) - 28 <= 6.4 AND c_custkey % 11 <= 8 AS one FROM customer)
 SELECT image_id, 1::BIGINT AS region_id, 100.0::DOUBLE AS x, CASE WHEN one THEN 20 + far ELSE 20 END::DOUBLE AS w, CASE WHEN one THEN 2 ELSE 1 END::BIGINT AS n_pieces FROM o UNION ALL SELECT image_id, 2, 100 + far, 20, 1 FROM o WHERE NOT one UNION ALL SELECT image_id, 3, 500, 20, 1 FROM o"""
 
 
