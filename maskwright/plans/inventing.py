@@ -233,7 +233,7 @@ def _tight(words):
 
 def g9_comments(spark, sf_dir):
     """Lines of all documents, set close enough to go on from one another."""
-    return Q.find_comments(_tight(P.document_words(spark, sf_dir))).select("image_id", "word_id", "in_comment", "cm_start", Q.comment_type().alias("type"))
+    return Q.comment_types(Q.find_comments(_tight(P.document_words(spark, sf_dir)))).select("image_id", "word_id", "in_comment", "cm_start", "type")
 
 
 _E = P._q(Q.ENDS)

@@ -65,7 +65,7 @@ def test_comments_go_on_and_end(spark):
     lines = ["“We met Berta on", "the way home and", "Great day”", "so it was fine", "Total Sales Region", "it is a long way to go, my Friend there"]
     rows = [("a", i * 20 + j, w, j * 50.0, i * 20.0, 45.0, 12.0, 95.0) for i, line in enumerate(lines) for j, w in enumerate(line.split())]
     words = spark.createDataFrame(rows, f"image_id string, word_id long, text string, {BOX}, conf double")
-    got = {r["word_id"]: r for r in Q.find_comments(words).withColumn("type", Q.comment_type()).collect()}
+    got = {r["word_id"]: r for r in Q.comment_types(Q.find_comments(words)).collect()}
     line_in = [got[i * 20]["in_comment"] for i in range(len(lines))]
     assert line_in == [True, True, True, False, False, True]  # the third line closes the quotation
     assert got[2]["type"] == "Name in comment" and got[0]["type"] is None and got[0]["cm_start"] and not got[1]["cm_start"] and got[108]["type"] == "Name in comment"
