@@ -57,6 +57,13 @@ def _fold_table() -> np.ndarray:
     return _state["fold"]
 
 
+def _mark_table() -> np.ndarray:
+    """Which code points are combining marks: they belong to words but are no letters."""
+    if "marks" not in _state:
+        _state["marks"] = np.array([unicodedata.category(chr(c))[0] == "M" for c in range(sys.maxunicode + 1)])
+    return _state["marks"]
+
+
 def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(code points of all texts, one after the other, offsets): each is a blank, then words each followed by a blank."""
     raw = np.frombuffer("".join([f"\n{t}\n" for t in texts]).encode("utf-32-le", "replace"), np.uint32)
@@ -227,7 +234,8 @@ def judge(model: Model, texts: list[str]) -> list[tuple[str, float, bool, float]
     """(language, score, rejected, cross-entropy) of each text."""
     x, off = normalise(texts)
     like, n = model.score(x, off)
-    letters = np.array([off[i + 1] - off[i] > 1 for i in range(len(texts))], bool)
+    found = np.concatenate([[0], np.cumsum((x != 32) & ~_mark_table()[x])])
+    letters = found[off[1:]] > found[off[:-1]]
     h = -like / np.maximum(n, 1)[:, None]
     best = h.argmin(1) if h.shape[1] else np.zeros(len(texts), int)
     out = []
@@ -269,7 +277,7 @@ OUT = "lang_pred string, score double, rejected boolean, entropy double"
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Models of the labels of ``labelled``, from at most about ``sample_chars`` characters of each (whole texts)."""
+    """Models of the labels of ``labelled``, from at most about ``sample_chars`` characters of each, chosen by pieces."""
     spark = labelled.sparkSession
     own = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang is not null and text is not null")
     pieces = own.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))).alias("text")).withColumn("h", F.xxhash64("text"))

@@ -67,16 +67,18 @@ class Words:
     """Ids of texts by a byte-level tokenizer, each distinct piece (see ``cuts``) tokenized once while it is remembered.
 
     Pieces are known by a 64-bit hash and their ids kept in one flat array; the least used half is forgotten when
-    ``CACHE_PIECES`` are held.
+    ``CACHE_PIECES`` are held. Strings of special tokens get the ids of those tokens, as the tokenizer has it by default,
+    and a text that holds one is tokenized in one piece; with ``special_as_text`` they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         #: Tokens that begin with a blank (byte-level alphabets write it as U+0120).
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -85,6 +87,20 @@ class Words:
         self.at = np.zeros((0, 3), np.int64)  # begin and number of ids, uses
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begins of the pieces of one run of texts, which of them are whole texts with special tokens)."""
+        begin, raw, rows = cuts(data, off), data.tobytes(), set()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                rows.add(int(np.searchsorted(off, at, "right")) - 1)
+                at = raw.find(token, at + 1)
+        whole = np.zeros(len(off), bool)
+        whole[list(rows)] = True
+        whole = whole[np.searchsorted(off, begin, "right") - 1]
+        stay = ~whole | np.isin(begin, off)
+        return begin[stay], whole[stay]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -127,14 +143,14 @@ class Words:
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(32-bit ids of all texts, one after the other; where each text's begin, rows + 1)."""
-        begin = cuts(data, off)
+        begin, whole = self.pieces(data, off)
         end = np.append(begin[1:], len(data))
         row = np.searchsorted(off, begin, "right") - 1
         key = np.empty(len(begin), np.uint64)
         for a, z in B.runs(np.append(begin, len(data))):  # hashes are made of bounded runs
             x, y = int(begin[a]), int(end[z - 1])
             key[a:z] = B.span_hashes(data[x:y], begin[a:z] - x, end[a:z] - x)
-        long = np.flatnonzero(end - begin > PIECE_BYTES)
+        long = np.flatnonzero((end - begin > PIECE_BYTES) | whole)
         short = np.ones(len(begin), bool)
         short[long] = False
         unique, first, of, uses = np.unique(key[short], return_index=True, return_inverse=True, return_counts=True)
@@ -151,11 +167,11 @@ class Words:
         self.at[place, 2] += uses
         start, size = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
         start[short], size[short] = self.at[place, 0][of], self.at[place, 1][of]
-        whole = self.encode([raw[x:y].decode("utf-8") for x, y in zip(begin[long].tolist(), end[long].tolist(), strict=True)]) if len(long) else []
-        size[long] = [len(x) for x in whole]
+        apart = self.encode([raw[x:y].decode("utf-8") for x, y in zip(begin[long].tolist(), end[long].tolist(), strict=True)]) if len(long) else []
+        size[long] = [len(x) for x in apart]
         ends = np.cumsum(size)
         out = self.flat[np.minimum(np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0), len(self.flat) - 1)]
-        for i, x in zip(long.tolist(), whole, strict=True):
+        for i, x in zip(long.tolist(), apart, strict=True):
             out[ends[i] - size[i] : ends[i]] = x
         return out, np.concatenate([[0], ends])[np.searchsorted(row, np.arange(len(off)))]
 

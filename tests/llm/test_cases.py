@@ -29,6 +29,22 @@ def test_pieces_are_tokenized_as_the_whole_text(monkeypatch):
             assert ids[begin[k] : begin[k + 1]].tolist() == want.tolist(), repr(texts[a + k])
 
 
+def test_special_tokens_are_found_as_the_tokenizer_finds_them():
+    from tokenizers import Tokenizer
+
+    plain, texts = Tokenizer.from_file(TOKENS), ["hello <|endoftext|> there", " <|endoftext|>", "a<|endoftext|>b.c d", "x <|endoftext| > y", "no token, here"]
+    ids, begin = packing.Words(TOKENS).ids(*buffers(pa.array(texts)))
+    assert [ids[begin[k] : begin[k + 1]].tolist() for k in range(5)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, begin = packing.Words(TOKENS, special_as_text=True).ids(*buffers(pa.array(texts)))
+    assert 50256 not in ids.tolist()
+
+
+def test_marks_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "abc abd " * 20, "en"), (2, "\u0301", None), (3, "\u0301 \u0302 12", None), (4, "a\u0301", None)], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in language_id.identify(docs, language_id.train(docs)).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["en", "und", "und", "en"] and got[2]["score"] == 0
+
+
 def test_packing_ignores_clashing_columns_and_keeps_ties(spark):
     docs = spark.createDataFrame([(i, "same words here", 1, 2, 3) for i in range(9)], "doc_id long, text string, start long, length long, offset long")
     out = packing.pack_documents(docs, TOKENS).collect()
