@@ -87,9 +87,12 @@ class Words:
         self.at = np.zeros((0, 3), np.int64)  # begin and number of ids, uses
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def begins(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return cuts(data, off)
+
     def pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begins of the pieces of one run of texts, which of them are whole texts with special tokens)."""
-        begin, raw, rows = cuts(data, off), data.tobytes(), set()
+        begin, raw, rows = self.begins(data, off), data.tobytes(), set()
         for token in self.special:
             at = raw.find(token)
             while at >= 0:

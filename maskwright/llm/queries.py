@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskwright.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, ppm_score, toxicity
+from maskwright.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, ppm_score, token_align, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_query,
     "op9_ppm_score": ppm_score.op9_query,
     "op10_toxicity": toxicity.op10_query,
+    "op13_token_align": token_align.op13_query,
 }
 
 SQL = {
