@@ -293,7 +293,7 @@ def _unpack_batches(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(s, s + len(part))), pa.array(part), pa.array(c[s : s + 65536])], names=["block", "place", "pair", "n"])
 
 
-def _score(key, docs: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+def _score(key: tuple, docs: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
     """The documents of one block with the sums of the block's pairs."""
     total = np.zeros(len(sums), np.int64)
     best = np.zeros(len(sums), np.int64)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import public_tokenizers
-from maskwright.llm import token_align
+from maskwright.llm import phrase_mining, token_align
 from maskwright.llm.bytes_np import buffers
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -88,3 +89,50 @@ def test_words_of_sentence_pieces_are_tokenized_as_the_whole_text(monkeypatch):
 def test_alignment_of_nothing(spark):
     got, pairs = token_align.align_documents(spark.createDataFrame([], DOCS), A, B)
     assert got.count() == 0 and pairs.count() == 0
+
+
+def plain_collocations(rows, least, top):
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n-\r]", low):
+            w = re.findall("[^ \t]+", piece)
+            n[lang or "und"] += len(w)
+            for k in range(1, 5):
+                f[lang or "und"].update(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, count in f.items():
+        cand, kept = {p for p in count if " " in p and count[p] >= least}, []
+        for p in cand:
+            w = p.split(" ")
+            cuts = [(2_000_000 * count[p] // (count[" ".join(w[:k])] + count[" ".join(w[k:])]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            if not any(f" {p} " in f" {q} " and q != p and 100 * count[q] >= 80 * count[p] for q in cand):
+                kept.append((-score, -count[p], p.encode(), p, count[" ".join(w[:k])], count[" ".join(w[k:])]))
+        out += [(lang, i + 1, x[3], -x[1], x[4], x[5], n[lang], -x[0]) for i, x in enumerate(sorted(kept)[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("shards", "slots"), [(1, 1 << 16), (3, 1 << 16), (4, 4)])
+def test_phrases_against_brute_force(spark, shards, slots):
+    r = random.Random(shards)
+    vocab = ["Ab", "b", "c", "dé", "e\u00a0f", "ß", "x,y", "z.", "\n", "\t", "  "]
+    rows = [(r.choice(["en", "de", None, "und"]), " ".join(r.choice(vocab) for _ in range(r.randint(0, 40)))) for _ in range(120)]
+    rows += [("en", None), ("fr", ""), ("fr", "..."), ("en", "Rare words Here. rare words here, " * 9), ("de", "b " * 400)]
+    docs = spark.createDataFrame([(*x, 1, 2) for x in rows], "lang string, text string, k int, f int").repartition(3)
+    got = phrase_mining.collocations(phrase_mining.phrase_counts(docs, least=8, shards=shards, slots=slots), top=25)
+    assert sorted(tuple(x) for x in got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()) == plain_collocations(rows, 8, 25)
+
+
+def test_phrases_of_nothing(spark):
+    counts = phrase_mining.phrase_counts(spark.createDataFrame([], "lang string, text string"))
+    assert phrase_mining.collocations(counts).count() == 0
+    counts = phrase_mining.phrase_counts(spark.createDataFrame([(None, None), ("en", " ")], "lang string, text string"))
+    assert phrase_mining.collocations(counts).count() == 0
+
+
+def test_scores_beyond_64_bits(spark):
+    big = 1 << 62
+    rows = [("en", "", 0, big), ("en", "a", 1, big), ("en", "b", 1, big - 5), ("en", "a b", 2, big // 3)]
+    got = phrase_mining.collocations(spark.createDataFrame(rows, "lang string, phrase string, k int, f long")).first()
+    assert got["score"] == 2_000_000 * (big // 3) // (2 * big - 5)
