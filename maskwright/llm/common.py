@@ -34,6 +34,20 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *written: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more, and let Spark remove shuffle files of finished jobs.
+
+    Spark does the latter when the driver's JVM collects garbage, which may be long after.
+    """
+    jvm = spark.sparkContext._jvm
+    for df in written:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def _give_back() -> None:
     """Hand freed memory back to the system, so that a reused Python worker keeps nothing of a finished task."""
     gc.collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskwright.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, phrase_mining, ppm_score, token_align, toxicity
+from maskwright.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, passage_dedup, phrase_mining, ppm_score, token_align, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_query,
     "op9_ppm_score": ppm_score.op9_query,
     "op10_toxicity": toxicity.op10_query,
+    "op11_passage_dedup": passage_dedup.op11_query,
     "op12_phrase_mining": phrase_mining.op12_query,
     "op13_token_align": token_align.op13_query,
 }
@@ -25,5 +26,6 @@ SQL = {
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
+    "op11_passage_dedup": passage_dedup.OP11_SQL,
     "op12_phrase_mining": phrase_mining.OP12_SQL,
 }

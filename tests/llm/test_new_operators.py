@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import public_tokenizers
-from maskwright.llm import phrase_mining, token_align
+from maskwright.llm import passage_dedup, phrase_mining, token_align
 from maskwright.llm.bytes_np import buffers
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -136,3 +136,44 @@ def test_scores_beyond_64_bits(spark):
     rows = [("en", "", 0, big), ("en", "a", 1, big), ("en", "b", 1, big - 5), ("en", "a b", 2, big // 3)]
     got = phrase_mining.collocations(spark.createDataFrame(rows, "lang string, phrase string, k int, f long")).first()
     assert got["score"] == 2_000_000 * (big // 3) // (2 * big - 5)
+
+
+def plain_passages(rows, window):
+    """Words and kept words by the rule of windows, of rows (id, text); equal rows are one document."""
+    first, docs = {}, sorted({(d is not None, d or 0, t) for d, t in rows if t is not None}, key=lambda x: x[:2])
+    cut = lambda t: re.findall("[^\x20\x09-\x0d]+", t)
+    out = {}
+    for known, d, t in docs:
+        w = cut(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if first.setdefault(tuple(w[i : i + window]), (known, d, i)) != (known, d, i):
+                gone[i : i + window] = [True] * window
+        out[known and d if known else None, t] = (" ".join(x for x, g in zip(w, gone, strict=True) if not g), len(w), sum(gone))
+    return out
+
+
+@pytest.mark.parametrize(("hot", "shard"), [(2000, 20), (3, 1)])
+def test_passages_against_brute_force(spark, hot, shard):
+    r = random.Random(hot)
+    vocab = ["ab", "c", "dé", "日本", "x.", "A", "a", "\u00a0"]
+    passages = [" ".join(r.choice(vocab) for _ in range(r.randint(5, 60))) for _ in range(8)]
+    rows = []
+    for i in range(90):
+        parts = [r.choice(passages) if r.random() < 0.5 else " ".join(r.choice(vocab) + str(r.randint(0, 30)) for _ in range(r.randint(0, 25))) for _ in range(r.randint(0, 5))]
+        rows.append((i, r.choice(["  ", "\n", "\t "]).join(parts)))
+    rows += [(200, rows[3][1]), (201, "one two " * 60), (202, "same " * 100), (203, "one two " * 60 + "three"), (204, ""), (205, None), (206, " \n "), (207, "x"), (None, passages[0] + " null id"), (7, rows[7][1]), (208, " lead " + passages[1] + " ")]
+    docs = spark.createDataFrame([(*x, 1, "z") for x in rows], DOCS + ", n_words long, spans string").repartition(4)
+    names = docs.columns
+    got = passage_dedup.dedup_passages(docs.withColumnRenamed("n_words", "key"), window=6, gram=3, hot=hot, shard=shard).collect()
+    want = plain_passages(rows, 6)
+    assert len(got) == len(rows) and len(names) == 4
+    assert Counter((x["doc_id"], x["text"], x["n_words"], x["n_removed"]) for x in got) == Counter((d, *(want[d, t] if t is not None else (None, 0, 0))) for d, t in rows)
+
+
+def test_passages_that_share_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text + " one"), (1, text + " two"), (2, "w")], DOCS)
+    got = sorted((x["n_words"], x["n_removed"]) for x in passage_dedup.dedup_passages(docs).collect())
+    assert got == [(1, 0), (41, 0), (41, 40)]
+    assert passage_dedup.dedup_passages(docs.limit(0)).count() == 0
