@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.functions.text import NEUTRAL, words_array
+
 #: Neutral words by length, one letter to twelve.
 POOL = (
     ("a", "o"), ("at", "by", "go", "up"), ("day", "sun", "map", "pen", "oak"), ("leaf", "moon", "path", "sand", "tree"), ("cloud", "field", "light", "river", "stone"),
@@ -38,6 +42,17 @@ def fake_word(c: Column, seed: int) -> Column:
     return F.when(c.isNotNull() & (n > 0), cased).otherwise(c)
 
 
+def fake_letters(c: Column, seed: int, safe: Sequence[str] | Column = NEUTRAL) -> Column:
+    """A code or path whose runs of three letters or more are made up, but for ``safe`` words (lower case).
+
+    A run gets the same word wherever it stands and whatever its case, which the word takes over; all else stays.
+    """
+    known = words_array(safe)
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    one = lambda run: F.when(run.rlike(r"\A\p{L}{3,}\z") & ~F.array_contains(known, F.lower(run)), fake_word(run, seed)).otherwise(run)
+    return F.when(c.isNotNull(), F.array_join(F.transform(runs, one), ""))
+
+
 def fake_email(c: Column, seed: int) -> Column:
     """An address at a reserved domain with a local part about as long as the original leaves room for."""
     room = F.greatest(F.lit(3), F.least(F.length(c) - 12, F.lit(12)))

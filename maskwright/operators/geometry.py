@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.plans.store import written
+
 BOX = ("x", "y", "w", "h")
 
 
@@ -41,15 +43,15 @@ def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("image_id",))
     return df.select(*keep, *(F.col(c).alias(prefix + c) for c in df.columns if c not in keep))
 
 
-def near_pairs(a: DataFrame, b: DataFrame, bucket: float = 48.0, reach: float = 0.0, reach_x: Column | float = 0.0, cell: float = 192.0) -> DataFrame:
+def near_pairs(a: DataFrame, b: DataFrame, bucket: float = 48.0, reach: float = 0.0, reach_x: Column | float = 0.0, cell: float = 192.0, reach_y: Column | float = 0.0) -> DataFrame:
     """Pairs of boxes of one picture that share a cell of ``cell`` × ``bucket`` pixels; once each.
 
     ``a`` and ``b`` have ``image_id`` and prefixed columns (``a_x`` …, ``b_x`` …). Rows of ``b`` are widened by ``reach``,
-    the width of ``a`` on both sides by ``reach_x``. Candidates of a box grow with the boxes near it, not with its line.
+    ``a`` on both sides by ``reach_x`` and ``reach_y``. Candidates of a box grow with the boxes near it, not with its line.
     """
-    wide = reach_x if isinstance(reach_x, Column) else F.lit(float(reach_x))
+    wide, high = (r if isinstance(r, Column) else F.lit(float(r)) for r in (reach_x, reach_y))
 
-    def dealt(df: DataFrame, p: str, dx: Column, dy: float) -> DataFrame:
+    def dealt(df: DataFrame, p: str, dx: Column, dy: Column) -> DataFrame:
         first = lambda at, size: F.floor(at / size)
         x, y, w, h = _b(p)
         span = df.withColumns({
@@ -58,7 +60,7 @@ def near_pairs(a: DataFrame, b: DataFrame, bucket: float = 48.0, reach: float =
         })
         return span.withColumn("_row", F.explode(F.sequence(f"_s{p}", f"_t{p}"))).withColumn("_col", F.explode(F.sequence(f"_u{p}", f"_v{p}"))).drop(f"_v{p}", f"_t{p}")
 
-    both = dealt(a, "a_", wide, 0.0).join(dealt(b, "b_", F.lit(0.0), float(reach)), ["image_id", "_row", "_col"])
+    both = dealt(a, "a_", wide, high).join(dealt(b, "b_", F.lit(0.0), F.lit(float(reach))), ["image_id", "_row", "_col"])
     once = (F.col("_row") == F.greatest("_sa_", "_sb_")) & (F.col("_col") == F.greatest("_ua_", "_ub_"))
     return both.filter(once).drop("_row", "_col", "_sa_", "_sb_", "_ua_", "_ub_")
 
@@ -109,3 +111,23 @@ def coverage(words: DataFrame, boxes: DataFrame, key: str = "word_id", nx: int =
     points = sum((F.bit_count(f"_l{i}") for i in range(1, len(longs))), F.bit_count("_l0"))
     seen = hit.select("image_id", key, (points / (nx * ny)).alias("covered"))
     return words.join(seen, ["image_id", key], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+
+
+def greedy(rows: DataFrame, pairs: DataFrame, key: str = "word_id") -> DataFrame:
+    """``rows`` gone through in order, each kept unless an earlier kept one drops it; ``pairs`` has (earlier ``a_``, later ``b_``).
+
+    Rounds: what no undecided row comes before is kept and drops those after it; only pairs that are still open go into the
+    next round, so that each costs what is left. Chains of overlaps are short, and so are the rounds few.
+    """
+    open_ = written(pairs.select("image_id", F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b")), "open")
+    gone = []
+    while not open_.isEmpty():
+        later = open_.select("image_id", F.col("b").alias("a")).distinct()
+        kept = open_.select("image_id", "a").distinct().join(later, ["image_id", "a"], "left_anti")
+        dropped = written(open_.join(kept, ["image_id", "a"], "left_semi").select("image_id", "b").distinct(), "dropped")
+        gone.append(dropped)
+        left = open_.join(dropped, ["image_id", "b"], "left_anti").join(dropped.select("image_id", F.col("b").alias("a")), ["image_id", "a"], "left_anti")
+        open_ = written(left.select("image_id", "a", "b"), "open")
+    for dropped in gone:
+        rows = rows.join(dropped.select("image_id", F.col("b").alias(key)), ["image_id", key], "left_anti")
+    return rows

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import NEUTRAL, NUMBER, classify, core
-from maskwright.operators.geometry import centre_in, near_pairs, overlap, overlap_join, prefixed
+from maskwright.operators.geometry import centre_in, greedy, near_pairs, overlap, overlap_join, prefixed
 
 #: Pixels of a reading-order band.
 BAND = 8
@@ -200,16 +200,26 @@ def merge_passes(words: DataFrame, passes: Sequence[str]) -> DataFrame:
     return out
 
 
+def merge_passes_strict(words: DataFrame, passes: Sequence[str], threshold: float = 0.3) -> DataFrame:
+    """Words of several readings in order, pass by pass and by ``word_id``: one stays where no kept one overlaps it by more,
+    of its own pass or another; digits give no right of way. ``word_id`` is unique in a picture."""
+    place = F.struct(F.array_position(F.array(*map(F.lit, passes)), F.col("pass")).alias("nr"), F.col("word_id").alias("id"))
+    own = words.filter(F.col("pass").isin(*passes)).withColumn("_place", place)
+    slim = own.select("image_id", "word_id", "_place", "x", "y", "w", "h")
+    return greedy(own, overlap_join(slim, slim, threshold).filter(F.col("a__place") < F.col("b__place"))).drop("_place")
+
+
 def label_text(c: str) -> Column:
     trimmed = F.regexp_replace(F.col(c), r"\A\s+|\s+\z", "")
     return F.lower(F.regexp_replace(trimmed, r"\A[^\p{L}\p{N}_]+|[^\p{L}\p{N}_%]+\z", ""))
 
 
-def beside(words: DataFrame, direction: int = -1) -> DataFrame:
-    """Per word its nearest neighbour to the left (-1) or right (1) on the line: image_id, word_id, n_word_id, n_text, gap."""
-    slim = words.select("image_id", "word_id", "text", "x", "y", "w", "h")
+def beside(words: DataFrame, direction: int = -1, of: DataFrame | None = None) -> DataFrame:
+    """Per word (``of``: of these words only) its nearest neighbour to the left (-1) or right (1) on the line: image_id,
+    word_id, n_word_id, n_text, gap."""
+    slim = lambda d: d.select("image_id", "word_id", "text", "x", "y", "w", "h")
     reach = F.greatest(F.col("a_h"), F.lit(8.0)) * 3
-    pairs = near_pairs(prefixed(slim, "a_"), prefixed(slim, "b_"), reach_x=reach).filter("a_word_id != b_word_id")
+    pairs = near_pairs(prefixed(slim(words if of is None else of), "a_"), prefixed(slim(words), "b_"), reach_x=reach).filter("a_word_id != b_word_id")
     a, b = (lambda n: F.col("a_" + n)), (lambda n: F.col("b_" + n))
     level = F.abs(b("y") + b("h") / 2 - a("y") - a("h") / 2) <= F.greatest(a("h"), b("h")) * 0.6
     apart = F.least(a("x") + a("w"), b("x") + b("w")) - F.greatest(a("x"), b("x")) <= F.least(a("w"), b("w")) * 0.3
@@ -221,10 +231,11 @@ def beside(words: DataFrame, direction: int = -1) -> DataFrame:
 
 def count_labels(words: DataFrame) -> DataFrame:
     """Small numbers that label a visual ("Top 5", "Week 34", "Page 1 of 3"): image_id, word_id."""
-    own = words.select("image_id", "word_id", label_text("text").alias("low"))
+    wide = words.withColumn("low", label_text("text"))
     small = F.col("low").rlike(r"\A[0-9]{1,3}%?\z") & F.expr("try_cast(replace(low, '%', '') as int) between 1 and 500")
-    left = beside(words, -1).select("image_id", "word_id", "n_word_id", label_text("n_text").alias("n_low"))
-    joined = own.join(left, ["image_id", "word_id"], "left")
+    own = wide.filter((small | (F.col("low") == "of") | F.col("low").rlike(r"\A(top|bottom)[-_]?[0-9]{1,3}%?\z")))
+    left = beside(words, -1, own).select("image_id", "word_id", "n_word_id", label_text("n_text").alias("n_low"))
+    joined = own.select("image_id", "word_id", "low").join(left, ["image_id", "word_id"], "left")
     glued = joined.filter(F.col("low").rlike(r"\A(top|bottom)[-_]?[0-9]{1,3}%?\z")).select("image_id", "word_id")
     direct = joined.filter(small & F.col("n_low").isin(*RANK_WORDS, *SEQUENCE_WORDS)).select("image_id", "word_id")
     safe = glued.union(direct)

@@ -96,6 +96,19 @@ def inside_sql(a: str, b: str) -> str:
     return f"({a}.x + {a}.w / 2 >= {b}.x AND {a}.x + {a}.w / 2 <= {b}.x + {b}.w AND {a}.y + {a}.h / 2 >= {b}.y AND {a}.y + {a}.h / 2 <= {b}.y + {b}.h)"
 
 
+def cells_sql(name: str, of: str, reach: str = "0", reach_y: str = "0") -> str:
+    """``of`` with a row per cell that a box touches: 256 pixels of a line of 30; bounds what spatial joins compare.
+
+    The reaches widen the box to both sides.
+    """
+    span = lambda at, size, by, cell: f"unnest(range(floor(({at} - {by}) / {cell})::BIGINT, floor(({at} + {size} + {by}) / {cell})::BIGINT + 1))"
+    return f"{name} AS (SELECT q.*, cell, ln FROM {of} q, {span('q.x', 'q.w', reach, 256)} AS c(cell), {span('q.y', 'q.h', reach_y, 30)} AS l(ln))"
+
+
+def same_cell(a: str, b: str) -> str:
+    return f"{a}.image_id = {b}.image_id AND {a}.ln = {b}.ln AND {a}.cell = {b}.cell"
+
+
 #: Groups of flagged words in reading order (needs ``typed``): one row per flagged word with its mask number.
 RUNS_SQL = """
 o AS (SELECT *, floor(y / 8 + 0.5) AS band FROM typed WHERE type IS NOT NULL),

@@ -9,60 +9,122 @@ from maskwright.operators import masks as M
 from maskwright.operators import score as S
 from maskwright.operators import verify as V
 from maskwright.plans import base as P
-from maskwright.plans.masking import ACTIVE_SQL, MASKS, SECOND_SQL, W, _active, _second_pass
+from maskwright.plans.masking import ACTIVE_SQL, HIDDEN_SQL, MASKS, SECOND_SQL, _active, _second_pass
+from maskwright.plans.store import written
 
 
 def _page(spark, sf_dir):
-    words = P.document_words(spark, sf_dir)
-    return words, _active(M.build_masks(M.typed(words)))
+    """Typed words, written once for all steps that read them, and their masks with a user's decisions."""
+    words = written(M.typed(P.document_words(spark, sf_dir)), "words")
+    return words, written(_active(M.build_masks(words)), "masks")
+
+
+def _drawn(what):
+    return P.draw(F.col("image_id"), F.col("word_id").cast("string"), what)
 
 
 def _reread(words):
-    """What a second reader sees: words two pixels off, cut or grown by a letter, drawn by hash."""
-    return _second_pass(words).withColumn("w", F.length("text") * 7.0).withColumn("h", F.lit(12.0))
+    """What a second reader sees: words two pixels off, cut or grown by a letter, a fifth of them twice, and marks below the line."""
+    shape = ("image_id", "word_id", "text", "conf", "x", "y", "w", "h")
+    again = _second_pass(words).withColumn("w", F.length("text") * 7.0).withColumn("h", F.lit(12.0)).select(*shape)
+    twice = again.filter(_drawn("twice") % 5 == 0).withColumn("word_id", F.col("word_id") + 3_000_000).withColumn("x", F.col("x") + 4)
+    d = _drawn("stray")
+    stray = words.filter(d % 20 == 0).select("image_id", (F.col("word_id") + 6_000_000).alias("word_id"), F.when(d % 3 == 0, "4").when(d % 3 == 1, "~").otherwise("4x%").alias("text"), F.lit(90.0).alias("conf"), "x", (F.col("y") + 16).alias("y"), F.lit(9.0).alias("w"), F.when(d % 7 == 0, 36.0).otherwise(8.0).alias("h"))
+    return again.unionByName(twice).unionByName(stray)
+
+
+def _regions(words):
+    """What a text detector finds, drawn by hash: two of three words; a second look reads some of them."""
+    d = _drawn("detected")
+    return words.filter(d % 3 != 0).select("image_id", F.col("word_id").alias("region_id"), "x", "y", "w", "h", F.struct("x", "y", "w", "h").alias("core"), F.when(d % 5 == 0, F.col("text")).alias("look"))
 
 
-REREAD_SQL = f"{SECOND_SQL}, rr AS (SELECT image_id, word_id, text, conf, x, y, (length(text) * 7.0)::DOUBLE AS w, 12.0::DOUBLE AS h FROM sec)"
+def _d(what):
+    return P.draw_sql("image_id", "CAST(word_id AS VARCHAR)", f"'{what}'")
+
+
+REREAD_SQL = f"""{SECOND_SQL}, ag AS (SELECT image_id, word_id, text, conf, x, y, (length(text) * 7.0)::DOUBLE AS w, 12.0::DOUBLE AS h FROM sec),
+rr AS (SELECT * FROM ag UNION ALL SELECT image_id, word_id + 3000000, text, conf, x + 4, y, w, h FROM ag WHERE {_d('twice')} % 5 = 0
+  UNION ALL SELECT image_id, word_id + 6000000, CASE d % 3 WHEN 0 THEN '4' WHEN 1 THEN '~' ELSE '4x%' END, 90.0, x, y + 16, 9.0, CASE WHEN d % 7 = 0 THEN 36.0 ELSE 8.0 END FROM (SELECT *, {_d('stray')} AS d FROM words) WHERE d % 20 = 0),
+reg AS (SELECT image_id, word_id AS region_id, x, y, w, h, CASE WHEN d % 5 = 0 THEN text END AS look FROM (SELECT *, {_d('detected')} AS d FROM words) WHERE d % 3 <> 0)"""
 _SQUASH = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
 _A, _B = _SQUASH.format("r.text"), _SQUASH.format("v.text")
 NEAR_SQL = f"least(length({_A}), length({_B})) >= 4 AND CASE WHEN contains({_A}, {_B}) OR contains({_B}, {_A}) THEN least(length({_A}), length({_B})) >= 0.6 * greatest(length({_A}), length({_B})) ELSE abs(length({_A}) - length({_B})) <= 2 AND levenshtein({_A}, {_B}) <= 2 END"
-CAND_SQL = f"""sure AS (SELECT * FROM rr WHERE conf >= CASE WHEN regexp_matches(text, '[0-9]') THEN 20 ELSE 45 END),
-cov AS (SELECT DISTINCT r.image_id, r.word_id FROM sure r JOIN act m ON r.image_id = m.image_id AND (m."on" OR m.user_off) AND r.y = m.y + 1 AND {P.inside_sql('r', 'm')}),
-sf AS (SELECT * FROM typed WHERE type IS NULL),
-safe_again AS (SELECT DISTINCT r.image_id, r.word_id FROM sure r JOIN sf v ON r.image_id = v.image_id AND r.y = v.y + 1 AND NOT regexp_matches(r.text, '[0-9]') AND {P.overlap_sql('r', 'v')} > 0.5
-   AND (r.w * r.h) / greatest(1, v.w * v.h) > 0.5 AND (r.w * r.h) / greatest(1, v.w * v.h) < 2 AND {NEAR_SQL}),
+_L = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_LA, _LB, _LK = _L.format("r.text"), _L.format("v.text"), _L.format("v.look")
+_WITHIN = "greatest(0, least(r.x + r.w, {0}) - greatest(r.x, {1})) >= 0.8 * r.w AND abs(r.y + r.h / 2 - v.y - v.h / 2) <= 0.5 * greatest(r.h, v.h)"
+#: a's characters are some of b's, in order: the rest of a that is still to be found, after each character of b.
+_SUBSEQ = f"list_reduce(list_prepend({_LA}, string_split({_LB}, '')), lambda rest, c: CASE WHEN starts_with(rest, c) THEN substr(rest, 2) ELSE rest END) = ''"
+_ONE_OFF = f"(length({_LA}) = length({_LB}) AND len(list_filter(range(1, length({_LA}) + 1), lambda i: {_LA}[i] <> {_LB}[i])) <= 1)"
+#: What is known to be safe: words that may stay readable and are not under a mask, and what a second look read.
+SAFE_SQL = f"""sure AS (SELECT * FROM rr WHERE conf >= CASE WHEN regexp_matches(text, '[0-9]') THEN 20 ELSE 45 END),
+{P.cells_sql('src', 'sure')}, {P.cells_sql('actc', 'act')}, {P.cells_sql('sf0', '(SELECT * FROM typed WHERE type IS NULL)')}, {P.cells_sql('regc', 'reg', '2')},
+sf AS (SELECT * FROM sf0 WHERE (image_id, word_id) NOT IN (SELECT v.image_id, v.word_id FROM sf0 v JOIN actc m ON {P.same_cell('v', 'm')} AND m."on" AND {P.overlap_sql('v', 'm')} > 0.5)),
+safe_again AS (SELECT r.image_id, r.word_id FROM src r JOIN sf v ON {P.same_cell('r', 'v')} AND NOT regexp_matches(r.text, '[0-9]')
+   AND (({P.overlap_sql('r', 'v')} > 0.5 AND (r.w * r.h) / greatest(1, v.w * v.h) > 0.5 AND (r.w * r.h) / greatest(1, v.w * v.h) < 2 AND {NEAR_SQL})
+     OR (v.conf >= 85 AND length({_LA}) >= 3 AND {_WITHIN.format('v.x + v.w', 'v.x')} AND ({_SUBSEQ} OR {_ONE_OFF})))
+  UNION SELECT r.image_id, r.word_id FROM src r JOIN regc v ON {P.same_cell('r', 'v')} AND v.look <> '' AND length({_LA}) > 0 AND abs(length({_LA}) - length({_LK})) <= 1 AND {_WITHIN.format('v.x + v.w + 2', '(v.x - 2)')})"""
+_LOW = r"lower(regexp_replace(regexp_replace(text, '\A\s+|\s+\z', '', 'g'), '\A[^\p{L}\p{N}_]+|[^\p{L}\p{N}_%]+\z', '', 'g'))"
+_WORDS = ", ".join(f"'{w}'" for w in [*M.RANK_WORDS, *M.SEQUENCE_WORDS])
+#: Count labels among the re-read words; pages of running text have no columns of row numbers.
+LABELS_SQL = rf"""rl AS (SELECT *, {_LOW} AS low FROM rr), {P.cells_sql('rlc', 'rl', '36')},
+nb AS (SELECT a.image_id, a.word_id, a.low, min(struct_pack(gap := a.x - b.x - b.w, id := b.word_id, t := b.low)) AS n FROM rlc a JOIN rlc b ON {P.same_cell('a', 'b')} AND a.word_id <> b.word_id AND (a.low = 'of' OR regexp_matches(a.low, '\A[0-9]{{1,3}}%?\z'))
+  AND abs(b.y + b.h / 2 - a.y - a.h / 2) <= 0.6 * greatest(a.h, b.h) AND least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) <= 0.3 * least(a.w, b.w) AND a.x - b.x - b.w BETWEEN -2 AND 3 * greatest(a.h, 8) GROUP BY 1, 2, 3),
+sm AS (SELECT * FROM nb WHERE low <> 'of' AND TRY_CAST(replace(low, '%', '') AS INT) BETWEEN 1 AND 500),
+lb0 AS (SELECT image_id, word_id FROM sm WHERE n.t IN ({_WORDS}) UNION SELECT image_id, word_id FROM rl WHERE regexp_matches(low, '\A(top|bottom)[-_]?[0-9]{{1,3}}%?\z')),
+lb AS (SELECT * FROM lb0 UNION SELECT sm.image_id, sm.word_id FROM sm JOIN nb o ON sm.n.t = 'of' AND o.image_id = sm.image_id AND o.word_id = sm.n.id JOIN lb0 ON lb0.image_id = o.image_id AND lb0.word_id = o.n.id)"""
+_PAIR = r"\p{L}{2}"
+_MARK = r"NOT regexp_matches(text, '[0-9]') AND conf < 60 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) <= 3 AND length(regexp_replace(text, '\s', '', 'g')) <= 4"
+CAND_SQL = rf"""{SAFE_SQL}, {LABELS_SQL}, {P.cells_sql('wc', f'(SELECT * FROM words WHERE NOT ({_MARK}))')},
+cov AS (SELECT DISTINCT r.image_id, r.word_id FROM src r JOIN actc m ON {P.same_cell('r', 'm')} AND (m."on" OR m.user_off) AND {P.inside_sql('r', 'm')}),
 ck AS (SELECT text, {P.classify_sql('text')} AS type FROM (SELECT DISTINCT text FROM sure)),
-cand AS (SELECT s.*, ck.type, CASE WHEN ck.type = '{T.TEXT}' THEN 'review' ELSE 'block' END AS severity FROM sure s JOIN ck USING (text)
-  WHERE (s.image_id, s.word_id) NOT IN (SELECT image_id, word_id FROM cov) AND (s.image_id, s.word_id) NOT IN (SELECT image_id, word_id FROM safe_again)
-  AND ck.type IS NOT NULL AND NOT (ck.type = '{T.TEXT}' AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) <= 2 AND NOT regexp_matches(text, '[0-9]')))"""
+known AS (SELECT r.image_id, r.word_id FROM src r JOIN regc v ON {P.same_cell('r', 'v')} AND {P.overlap_sql('r', 'v')} > 0.2 UNION SELECT r.image_id, r.word_id FROM src r JOIN wc v ON {P.same_cell('r', 'v')} AND {P.overlap_sql('r', 'v')} > 0.3),
+cand0 AS (SELECT s.*, ck.type, CASE WHEN ck.type = '{T.TEXT}' THEN 'review' ELSE 'block' END AS severity, k.word_id IS NULL AS likely_mark, length(regexp_replace(text, '\s', '', 'g')) AS n_chars
+  FROM sure s JOIN ck USING (text) LEFT JOIN known k USING (image_id, word_id) ANTI JOIN cov USING (image_id, word_id) ANTI JOIN safe_again USING (image_id, word_id) ANTI JOIN lb USING (image_id, word_id)
+  WHERE ck.type IS NOT NULL AND NOT (ck.type = '{T.TEXT}' AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) <= 2 AND NOT regexp_matches(text, '[0-9]'))),
+{P.cells_sql('shortc', f"(SELECT * FROM cand0 WHERE likely_mark AND n_chars <= 3 AND NOT regexp_matches(text, '{_PAIR}'))", 'q.h', 'q.h')},
+clo AS (SELECT DISTINCT r.image_id, r.word_id FROM shortc r JOIN actc m ON {P.same_cell('r', 'm')} AND m."on"
+  AND greatest(0, greatest(r.x, m.x) - least(r.x + r.w, m.x + m.w), greatest(r.y, m.y) - least(r.y + r.h, m.y + m.h)) < greatest(4, r.h)),
+cand AS (SELECT c.* EXCLUDE (n_chars), c.likely_mark AND n_chars <= 3 AND NOT regexp_matches(text, '\p{{L}}{{2}}') AND (clo.word_id IS NULL OR c.h >= 30) AS aside FROM cand0 c LEFT JOIN clo USING (image_id, word_id)
+  WHERE NOT (c.likely_mark AND n_chars <= 3 AND NOT regexp_matches(text, '[0-9]')))"""
 CHECK = f"{MASKS}, {ACTIVE_SQL}, {REREAD_SQL}, {CAND_SQL}"
 
 
-def j12_candidates(spark, sf_dir):
+def _candidates(spark, sf_dir):
     words, masks = _page(spark, sf_dir)
-    return V.candidates(_reread(words), words, masks).select("image_id", "word_id", "text", "type", "severity")
+    return words, masks, V.candidates(_reread(words), words, masks, regions=_regions(words))
+
+
+def j12_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir)[2].select("image_id", "word_id", "text", "type", "severity", "likely_mark", "aside")
 
 
 def j12_verify(spark, sf_dir):
     words, masks = _page(spark, sf_dir)
-    return V.verify(_reread(words), words, masks)
+    return V.verify(_reread(words), words, masks, regions=_regions(words))
+
+
+#: What is read twice comes in pairs, of which the later one gives way to the earlier, but not to one that is aside.
+VERIFY_SQL = f"""WITH {CHECK}, lost AS (SELECT DISTINCT b.image_id, b.word_id FROM cand a JOIN cand b ON a.image_id = b.image_id AND a.word_id % 3000000 = b.word_id % 3000000 AND a.word_id < b.word_id AND (NOT a.aside OR b.aside)
+  AND greatest(0, least(a.x + a.w + 3, b.x + b.w) - greatest(a.x - 3, b.x)) * greatest(0, least(a.y + a.h + 3, b.y + b.h) - greatest(a.y - 3, b.y)) / least((a.w + 6) * (a.h + 6), b.w * b.h) > 0.3)
+SELECT image_id, word_id, text, type, severity, x - 3 AS x, y - 3 AS y, w + 6 AS w, h + 6 AS h, likely_mark, aside, false AS resolved FROM cand ANTI JOIN lost USING (image_id, word_id)"""
 
 
 def j13_rereads(spark, sf_dir):
-    words, _ = _page(spark, sf_dir)
-    return V.rereads_safe(_reread(words), words.filter(T.classify("text").isNull()))
+    words, masks = _page(spark, sf_dir)
+    reread = _reread(words).filter(F.col("conf") >= F.when(F.col("text").rlike("[0-9]"), 20).otherwise(45))
+    return V.rereads_safe(reread, V.safe_seen(words, masks), _regions(words))
 
 
 def _findings(spark, sf_dir):
     """Findings of the check before overlap is dropped, a third of them resolved by hash, some likely marks."""
-    words, masks = _page(spark, sf_dir)
-    c = V.candidates(_reread(words), words, masks)
+    words, masks, c = _candidates(spark, sf_dir)
     d = P.draw(F.col("image_id"), F.col("word_id").cast("string"), "done")
     return words, masks, c.withColumn("resolved", d % 3 != 0).withColumn("likely_mark", d % 5 == 0)
 
 
 _D = P.draw_sql("image_id", "CAST(word_id AS VARCHAR)", "'done'")
-FOUND = f"{CHECK}, fnd AS (SELECT *, {_D} % 3 <> 0 AS resolved, {_D} % 5 = 0 AS likely_mark FROM cand)"
+FOUND = f"{CHECK}, fnd AS (SELECT * REPLACE ({_D} % 5 = 0 AS likely_mark), {_D} % 3 <> 0 AS resolved FROM cand)"
 
 
 def a3_gate(spark, sf_dir):
@@ -87,7 +149,7 @@ def a5_receipts(spark, sf_dir):
     return V.receipts(words, masks, found, M.published_words(words, masks))
 
 
-A5_SQL = f"""WITH {FOUND}, hid AS (SELECT DISTINCT words.image_id, words.word_id FROM words JOIN act ON words.image_id = act.image_id AND act.y = words.y AND act."on" AND {P.inside_sql('words', 'act')}),
+A5_SQL = f"""WITH {FOUND}, {HIDDEN_SQL},
 pub AS (SELECT words.image_id, sha256(string_agg(CASE WHEN hid.word_id IS NULL THEN text ELSE '' END, ' ' ORDER BY words.word_id)) AS sha256 FROM words LEFT JOIN hid USING (image_id, word_id) GROUP BY 1),
 wst AS (SELECT image_id, max(CASE WHEN resolved THEN 0 WHEN severity = 'block' THEN 2 ELSE 1 END) AS worst, count(*) FILTER (WHERE resolved) AS fm, count(*) FILTER (WHERE NOT resolved) AS fo FROM fnd GROUP BY 1),
 k AS (SELECT image_id, count(*) AS n_masks, count(DISTINCT type) AS n_kinds FROM act WHERE "on" GROUP BY 1)
@@ -174,7 +236,7 @@ TRUTH = f"""{MASKS}, truth AS (SELECT image_id, line_no, word_id, text, x, y, w,
 def _cover_sql(boxes: str, name: str) -> str:
     near = f"b.x < t.x + t.w AND b.x + b.w > t.x AND b.y < t.y + t.h AND b.y + b.h > t.y"
     px, py = "(t.x + (k // 6 + 0.5) / 16 * t.w)", "(t.y + (k % 6 + 0.5) / 6 * t.h)"
-    return f"""{name}p AS (SELECT t.image_id, t.word_id, t.x, t.y, t.w, t.h, b.x AS bx, b.y AS b_y, b.w AS bw, b.h AS bh, b.x <= t.x AND b.y <= t.y AND b.x + b.w >= t.x + t.w AND b.y + b.h >= t.y + t.h AS whole FROM truth t JOIN {boxes} b ON t.image_id = b.image_id AND t.y = b.y AND {near}),
+    return f"""{P.cells_sql(name + 't', 'truth')}, {P.cells_sql(name + 'b', boxes)}, {name}p AS (SELECT DISTINCT t.image_id, t.word_id, t.x, t.y, t.w, t.h, b.x AS bx, b.y AS b_y, b.w AS bw, b.h AS bh, b.x <= t.x AND b.y <= t.y AND b.x + b.w >= t.x + t.w AND b.y + b.h >= t.y + t.h AS whole FROM {name}t t JOIN {name}b b ON {P.same_cell('t', 'b')} AND {near}),
 {name} AS (SELECT image_id, word_id, max(c) AS c FROM (SELECT image_id, word_id, 1.0::DOUBLE AS c FROM {name}p WHERE whole
  UNION ALL SELECT image_id, word_id, count(DISTINCT k) / 96.0 AS c FROM {name}p t, unnest(range(96)) AS r(k) WHERE NOT whole AND {px} >= bx AND {px} <= bx + bw AND {py} >= b_y AND {py} <= b_y + bh GROUP BY 1, 2) GROUP BY 1, 2)"""
 
@@ -207,7 +269,7 @@ def a8_alarms(spark, sf_dir):
 
 
 A8_SQL = f"""WITH {TRUTH}, {_cover_sql('cm', 'c1')}, ex AS (SELECT truth.* FROM truth LEFT JOIN c1 USING (image_id, word_id) WHERE sensitive AND coalesce(c, 0) < 0.85),
-hit AS (SELECT DISTINCT f.image_id, f.finding_id FROM ff f JOIN ex ON f.image_id = ex.image_id AND f.y = ex.y AND {P.overlap_sql('f', 'ex')} > 0.3)
+{P.cells_sql('fc', 'ff')}, {P.cells_sql('ec', 'ex')}, hit AS (SELECT DISTINCT f.image_id, f.finding_id FROM fc f JOIN ec ON {P.same_cell('f', 'ec')} AND {P.overlap_sql('f', 'ec')} > 0.3)
 SELECT image_id, count(*) AS n FROM ff ANTI JOIN hit USING (image_id, finding_id) GROUP BY 1"""
 
 
@@ -243,7 +305,7 @@ def a10_gate(spark, sf_dir):
 
 
 _FIG = " UNION ALL ".join(f"SELECT '{n}' AS figure, floor(coalesce(sum({k}), 0) / sum({m}) * 10000 + 0.5) / 100 AS value FROM {{0}}" for n, k, m in (("residualExposed.pct", "e", "s"), ("residualLeakedAreaPct", "lk", "ar"), ("firstPassExposed.pct", "f", "s"), ("overMasked.pct", "o", "n"), ("falseAlarms.pct", "fa", "fn")))
-A10_SQL = f"""WITH {SCORED}, ex AS (SELECT * FROM sc WHERE sensitive AND c1 < 0.85), hit AS (SELECT DISTINCT f.image_id, f.finding_id FROM ff f JOIN ex ON f.image_id = ex.image_id AND f.y = ex.y AND {P.overlap_sql('f', 'ex')} > 0.3),
+A10_SQL = f"""WITH {SCORED}, ex AS (SELECT * FROM sc WHERE sensitive AND c1 < 0.85), {P.cells_sql('fc', 'ff')}, {P.cells_sql('ec', 'ex')}, hit AS (SELECT DISTINCT f.image_id, f.finding_id FROM fc f JOIN ec ON {P.same_cell('f', 'ec')} AND {P.overlap_sql('f', 'ec')} > 0.3),
 al2 AS (SELECT ff.image_id, count(*) AS fn, count(*) - count(hit.finding_id) AS fa FROM ff LEFT JOIN hit USING (image_id, finding_id) GROUP BY 1),
 im AS (SELECT image_id, count(*) FILTER (WHERE sensitive) AS s, count(*) FILTER (WHERE sensitive AND c1 < 0.85) AS f, count(*) FILTER (WHERE sensitive AND c2 < 0.85) AS e, count(*) FILTER (WHERE NOT sensitive) AS n, count(*) FILTER (WHERE NOT sensitive AND c1 > 0.5) AS o,
  sum(w * h * (1 - c2)) FILTER (WHERE sensitive AND NOT rotated) AS lk, sum(w * h) FILTER (WHERE sensitive AND NOT rotated) AS ar FROM sc GROUP BY 1),
@@ -279,7 +341,7 @@ QUERIES = {
     "a10_bench_gate": a10_gate, "a11_timing": a11_timing, "a12_replica_score": a12_replica,
 }
 SQL = {
-    "j12_candidates": f"WITH {CHECK} SELECT image_id, word_id, text, type, severity FROM cand", "j13_rereads_safe": f"WITH {MASKS}, {ACTIVE_SQL}, {REREAD_SQL}, sf AS (SELECT * FROM typed WHERE type IS NULL) SELECT DISTINCT r.image_id, r.word_id FROM rr r JOIN sf v ON r.image_id = v.image_id AND r.y = v.y + 1 AND NOT regexp_matches(r.text, '[0-9]') AND {P.overlap_sql('r', 'v')} > 0.5 AND (r.w * r.h) / greatest(1, v.w * v.h) > 0.5 AND (r.w * r.h) / greatest(1, v.w * v.h) < 2 AND {NEAR_SQL}",
+    "j12_candidates": f"WITH {CHECK} SELECT image_id, word_id, text, type, severity, likely_mark, aside FROM cand", "j12_verify": VERIFY_SQL, "j13_rereads_safe": f"WITH {MASKS}, {ACTIVE_SQL}, {REREAD_SQL}, {SAFE_SQL} SELECT image_id, word_id FROM safe_again",
     "a3_gate": A3_SQL, "a4_hide_uncertain": A4_SQL, "a5_receipts": A5_SQL, "w2_rank_findings": W2_SQL, "w3_top_k": W3_SQL, "s7_release": S7_SQL, "s8_names": S8_SQL, "j11_carry_decisions": J11_SQL, "a6_coverage": A6_SQL, "a7_masking_score": A7_SQL,
     "a8_false_alarms": A8_SQL, "a9_wilson": A9_SQL, "a10_bench_gate": A10_SQL, "a11_timing": A11_SQL, "a12_replica_score": A12_SQL,
 }

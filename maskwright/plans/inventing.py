@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import fakes as K
 from maskwright.functions.numbers import fake_ticks
 from maskwright.functions.text import TEXT
+from maskwright.operators import charts as D
 from maskwright.operators import comments as Q
 from maskwright.operators import context as C
 from maskwright.operators import masks as M
@@ -151,8 +152,9 @@ def j10_context(spark, sf_dir):
 
 
 J10_SQL = f"""WITH {MASKS}, vis AS (SELECT *, floor(y / 8 + 0.5) AS band FROM typed WHERE type IS NULL),
-nr10 AS (SELECT m.image_id, m.mask_id, v.word_id, v.text, v.band, v.x, greatest(0, m.x - (v.x + v.w), v.x - (m.x + m.w)) AS far FROM masks m JOIN vis v ON m.image_id = v.image_id AND v.y = m.y AND v.x + v.w > m.x - 96 AND v.x < m.x + m.w + 96
- UNION ALL SELECT m.image_id, m.mask_id, v.word_id, v.text, v.band, v.x, 54 + 0.5 * greatest(0, m.x - (v.x + v.w), v.x - (m.x + m.w)) FROM masks m JOIN vis v ON m.image_id = v.image_id AND v.y = m.y - 30 AND v.x + v.w > m.x - 48 AND v.x < m.x + m.w + 48),
+{P.cells_sql('mc', 'masks', '96')}, {P.cells_sql('vc', 'vis')},
+nr10 AS (SELECT DISTINCT m.image_id, m.mask_id, v.word_id, v.text, v.band, v.x, greatest(0, m.x - (v.x + v.w), v.x - (m.x + m.w)) AS far FROM mc m JOIN vc v ON {P.same_cell('m', 'v')} AND v.x + v.w > m.x - 96 AND v.x < m.x + m.w + 96
+ UNION ALL SELECT DISTINCT m.image_id, m.mask_id, v.word_id, v.text, v.band, v.x, 54 + 0.5 * greatest(0, m.x - (v.x + v.w), v.x - (m.x + m.w)) FROM mc m JOIN vc v ON m.image_id = v.image_id AND m.cell = v.cell AND v.ln = m.ln - 1 AND v.x + v.w > m.x - 48 AND v.x < m.x + m.w + 48),
 tp AS (SELECT * FROM nr10 QUALIFY row_number() OVER (PARTITION BY image_id, mask_id ORDER BY far, word_id) <= 6),
 cx AS (SELECT image_id, mask_id, substr(string_agg(text, ' ' ORDER BY band, x, word_id), 1, 120) AS context FROM tp GROUP BY 1, 2)
 SELECT m.image_id, m.mask_id, coalesce(context, '') AS context FROM masks m LEFT JOIN cx USING (image_id, mask_id)"""
@@ -318,6 +320,69 @@ A14_SQL = f"""WITH {_pixels_sql('px14', 'part', 'p_partkey', 12, 10)}
 SELECT image_id, count(*) FILTER (WHERE {P.draw_sql('image_id', 'px::VARCHAR', 'py::VARCHAR', "'new'")} % 7 = 0 AND NOT (k % 4 <> 0 AND px BETWEEN 2 AND 6 AND py BETWEEN 3 AND 6)) AS changed FROM px14 GROUP BY image_id"""
 
 
+#: Pictures of pages: a pixel per character of their HTML, 160 a row; signs and digits are blue, capitals dark, all else light.
+_WIDE, _INK = 160, {"[<>/=\"0-9]": (30, 90, 220), "[A-Z]": (60, 60, 60)}
+
+
+def _page_pixels(spark, sf_dir):
+    pages = P.read(spark, sf_dir, "pages").filter("html != ''").select(F.col("page_id").cast("string").alias("image_id"), F.posexplode(F.regexp_extract_all("html", F.lit("(?s)."), F.lit(0))).alias("i", "c"))
+    shade = lambda k: F.when(F.col("c").rlike(list(_INK)[0]), list(_INK.values())[0][k]).when(F.col("c").rlike(list(_INK)[1]), list(_INK.values())[1][k]).otherwise(250)
+    pixels = pages.select("image_id", (F.col("i") % _WIDE).alias("px"), F.floor(F.col("i") / _WIDE).cast("int").alias("py"), *(shade(k).alias(n) for k, n in enumerate("rgb")))
+    sizes = pixels.groupBy("image_id").agg(F.lit(_WIDE).alias("width"), (F.max("py") + 1).alias("height"))
+    words = sizes.select("image_id", *(F.lit(v).alias(n) for n, v in zip("xywh", (20.0, 6.0, 30.0, 7.0), strict=True)))
+    return pixels, words, sizes
+
+
+def a15_cells(spark, sf_dir):
+    return D.hot_cells(*_page_pixels(spark, sf_dir))
+
+
+def a15_areas(spark, sf_dir):
+    pixels, words, sizes = _page_pixels(spark, sf_dir)
+    return D.chart_areas(D.hot_cells(pixels, words, sizes), sizes)
+
+
+_SHADE = ", ".join(f"CASE WHEN regexp_matches(ch, '{list(_INK)[0]}') THEN {list(_INK.values())[0][k]} WHEN regexp_matches(ch, '{list(_INK)[1]}') THEN {list(_INK.values())[1][k]} ELSE 250 END AS {n}" for k, n in enumerate("rgb"))
+A15_SQL = f"""WITH l AS (SELECT CAST(page_id AS VARCHAR) AS image_id, regexp_extract_all(html, '(?s).') AS cs FROM pages WHERE html <> ''),
+p15 AS (SELECT image_id, (i - 1) % {_WIDE} AS px, (i - 1) // {_WIDE} AS py, {_SHADE} FROM (SELECT image_id, i, cs[i] AS ch FROM l, unnest(range(1, len(cs) + 1)) AS t(i))),
+sm AS (SELECT image_id, px // 32 AS bx, py // 32 AS y32, {_COLOUR} AS c, count(*) AS n FROM p15 WHERE px % 2 = 0 AND py % 2 = 0 GROUP BY ALL),
+nb AS (SELECT image_id, bx + i AS bx, y32 + j AS y32, c, sum(n) AS n FROM sm, (VALUES (-1), (0), (1)) AS a(i), (VALUES (-1), (0), (1)) AS b(j) GROUP BY ALL),
+pn AS (SELECT image_id, bx, y32, c FROM nb QUALIFY row_number() OVER (PARTITION BY image_id, bx, y32 ORDER BY n DESC, c) = 1),
+q AS (SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn, px BETWEEN 18 AND 51 AND py BETWEEN 4 AND 14 AS txt FROM p15 p JOIN pn ON p.image_id = pn.image_id AND p.px // 32 = bx AND p.py // 32 = y32),
+v AS (SELECT image_id, px // 4 AS cx, py // 4 AS cy, txt, mx > 40 AND (mx - mn) / mx > 0.28 AND mx - mn > 40 AS col, {_FAR} > 150 AS far FROM q),
+s AS (SELECT image_id, cx, cy, count(*) AS n, count(*) FILTER (WHERE NOT txt AND col) AS nc, count(*) FILTER (WHERE NOT txt AND NOT col AND far) AS nf FROM v GROUP BY 1, 2, 3)
+SELECT image_id, cx::INT AS cx, cy::INT AS cy, CASE WHEN nc > n * 0.12 THEN 1 ELSE 2 END AS hot FROM s WHERE nc > n * 0.12 OR nf > n * 0.45"""
+
+
+def j1_strict(spark, sf_dir):
+    """Three readings: as they are, moved by two pixels, and a fifth of them moved on by four."""
+    first = P.document_words(spark, sf_dir).select("image_id", "word_id", "text", "x", "y", "w", "h", F.lit("first").alias("pass"))
+    d = P.draw(F.col("image_id"), F.col("word_id").cast("string"), "again")
+    second = first.filter(d % 3 != 0).withColumns({"word_id": F.col("word_id") + 1_000_000, "x": F.col("x") + F.when(d % 5 == 0, F.col("w")).otherwise(2), "y": F.col("y") + 14, "pass": F.lit("second")})
+    third = second.filter(d % 5 == 1).withColumns({"word_id": F.col("word_id") + 1_000_000, "x": F.col("x") + 4, "pass": F.lit("third")})
+    return M.merge_passes_strict(first.unionByName(second).unionByName(third), ["first", "second", "third"]).select("image_id", "word_id", "pass")
+
+
+def t10_plan(spark, sf_dir):
+    """Orders as pages: a column of even ticks, prices with their ship dates read as one, discounts, and joined ticks below."""
+    items = P.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("n"), "l_extendedprice", "l_discount", "l_shipdate")
+    date = F.date_format("l_shipdate", "M/d/yyyy")
+    cell = lambda c, x, text: F.struct(F.lit(c).alias("c"), F.lit(x).alias("x"), text.alias("text"))
+    cells = items.select("k", "n", F.explode(F.array(
+        cell(0, 0.0, F.format_number(F.col("n") * (F.col("k") % 7 + 2) * 100, 0)), cell(1, 100.0, F.concat(F.lit("$"), F.format_number(F.col("l_extendedprice").cast("double"), 0), F.lit(" "), date)),
+        cell(2, 320.0, F.concat((F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%"))), cell(3, 420.0, F.concat_ws(" ", F.lit("0"), (F.col("k") % 9 + 1) * 10, (F.col("k") % 9 + 1) * 20)), cell(4, 520.0, date),
+    )).alias("v"))
+    masks = cells.select(F.col("k").cast("string").alias("image_id"), (F.col("n") * 5 + F.col("v.c")).alias("mask_id"), "v.text", "v.x", (F.col("n") * 30.0).alias("y"), (F.length("v.text") * 7.0).alias("w"), F.lit(12.0).alias("h"))
+    return Z.plan_values(masks, 3)
+
+
+def t12_letters(spark, sf_dir):
+    """Codes made of the words of every document."""
+    words = P.document_words(spark, sf_dir).select("text").distinct()
+    code = F.concat(F.lit("x_"), F.col("text"), F.lit("_50/"), F.upper("text"))
+    return words.select("text", K.fake_letters(code, 7).alias("fake"))
+
+
 def a16_fingerprint(spark, sf_dir):
     """The upper part of a picture of every supplier, with a word in it."""
     pixels = _pixels(spark, sf_dir, "supplier", "s_suppkey", 100, 12)
@@ -387,10 +452,10 @@ QUERIES = {
     "t11_fake_ticks": t11_ticks, "t13_fake_entities": t13_entities, "t14_fitted": t14_fitted, "t15_fake_ids": t15_ids, "t15_fake_titles": t15_titles, "t20_read_sizes": t20_read_sizes,
     "j8_second_look": j8_second_look, "j10_context": j10_context, "j10_labels": j10_labels, "j15_redraw_clashes": j15_redraw, "j16_after_month": j16_days,
     "g7_axis_scales": g7_axes, "g8_total_links": g8_totals, "g9_comments": g9_comments, "g11_join_slanted": g11_slanted,
-    "a13_ink_exposure": a13_ink, "a14_distortion": a14_distortion, "a16_fingerprint": a16_fingerprint, "u1_mask_layers": u1_layers, "s3_truth_words": s3_truth, "s4_review_masks": s4_review,
+    "a13_ink_exposure": a13_ink, "a14_distortion": a14_distortion, "a15_hot_cells": a15_cells, "a15_chart_areas": a15_areas, "j1_strict": j1_strict, "t10_plan": t10_plan, "t12_letters": t12_letters, "a16_fingerprint": a16_fingerprint, "u1_mask_layers": u1_layers, "s3_truth_words": s3_truth, "s4_review_masks": s4_review,
 }
 SQL = {
     "t11_fake_ticks": T11_SQL, "t13_fake_entities": T13_SQL, "t14_fitted": T14_SQL, "t15_fake_ids": T15_SQL, "t15_fake_titles": T15_TITLES_SQL, "t20_read_sizes": T20_SIZES_SQL,
     "j8_second_look": J8_SQL, "j10_context": J10_SQL, "j15_redraw_clashes": J15_SQL, "j16_after_month": J16_SQL, "g8_total_links": G8_SQL, "g9_comments": G9_SQL, "g11_join_slanted": G11_SQL,
-    "a13_ink_exposure": A13_SQL, "a14_distortion": A14_SQL, "a16_fingerprint": A16_SQL, "u1_mask_layers": U1_SQL, "s3_truth_words": S3_SQL, "s4_review_masks": S4_SQL,
+    "a13_ink_exposure": A13_SQL, "a14_distortion": A14_SQL, "a15_hot_cells": A15_SQL, "a16_fingerprint": A16_SQL, "u1_mask_layers": U1_SQL, "s3_truth_words": S3_SQL, "s4_review_masks": S4_SQL,
 }

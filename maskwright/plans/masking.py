@@ -95,7 +95,7 @@ def _active(masks: DataFrame) -> DataFrame:
 
 ACTIVE_SQL = f"act AS (SELECT *, d % 11 = 0 AS user_off, CASE WHEN d % 13 = 0 THEN 'manual' WHEN d % 17 = 0 THEN 'check' WHEN d % 19 = 0 THEN 'user' ELSE 'auto' END AS src, d % 11 <> 0 AS \"on\" FROM (SELECT *, {P.draw_sql('image_id', 'CAST(mask_id AS VARCHAR)', chr(39) + 'user' + chr(39))} AS d FROM masks))"
 A1_SQL = f"WITH {MASKS}, {ACTIVE_SQL} SELECT image_id, type, count(*) AS n_masks FROM act WHERE \"on\" GROUP BY CUBE (image_id, type)"
-HIDDEN_SQL = f"hid AS (SELECT DISTINCT words.image_id, words.word_id FROM words JOIN act ON words.image_id = act.image_id AND act.y = words.y AND act.\"on\" AND {P.inside_sql('words', 'act')})"
+HIDDEN_SQL = f"{P.cells_sql('hw', 'words')}, {P.cells_sql('ha', 'act')}, hid AS (SELECT DISTINCT hw.image_id, hw.word_id FROM hw JOIN ha ON {P.same_cell('hw', 'ha')} AND ha.\"on\" AND {P.inside_sql('hw', 'ha')})"
 
 
 def _ghostly(words: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def j1_merge(spark, sf_dir):
 
 
 _SEC2 = f"{SECOND_SQL}, s2 AS (SELECT image_id, word_id, text, conf, x, y, least(w, length(text) * 7.0) AS w, 12.0::DOUBLE AS h FROM sec)"
-J1_SQL = f"""WITH {W}, {_SEC2}, hit AS (SELECT s2.image_id, s2.word_id, bool_or(regexp_matches(words.text, '[0-9]')) AS dg FROM s2 JOIN words ON s2.image_id = words.image_id AND s2.y = words.y + 1 AND {P.overlap_sql('s2', 'words')} > 0.3 GROUP BY 1, 2)
+J1_SQL = f"""WITH {W}, {_SEC2}, {P.cells_sql('sc', 's2')}, {P.cells_sql('wc', 'words')}, hit AS (SELECT s.image_id, s.word_id, bool_or(regexp_matches(v.text, '[0-9]')) AS dg FROM sc s JOIN wc v ON {P.same_cell('s', 'v')} AND {P.overlap_sql('s', 'v')} > 0.3 GROUP BY 1, 2)
 SELECT image_id, word_id, text, 'first' AS pass FROM words UNION ALL
 SELECT s2.image_id, s2.word_id, text, 'second' AS pass FROM s2 LEFT JOIN hit USING (image_id, word_id) WHERE dg IS NULL OR (regexp_matches(text, '[0-9]') AND NOT dg)"""
 
@@ -201,7 +201,7 @@ def f3_marks(spark, sf_dir):
 
 F3_SQL = rf"""WITH {W}, {SECOND_SQL}, s AS (SELECT image_id, word_id, substr(text, 1, 4) AS text, conf, x, y, w, 12.0::DOUBLE AS h FROM sec),
 c AS (SELECT * FROM s WHERE NOT regexp_matches(text, '[0-9]') AND conf < 60 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) <= 3),
-r AS (SELECT * FROM words WHERE word_id % 3 = 0), seen AS (SELECT DISTINCT c.image_id, c.word_id FROM c JOIN r ON c.image_id = r.image_id AND c.y = r.y + 1 AND {P.overlap_sql('c', 'r')} > 0.2)
+{P.cells_sql('cc', 'c')}, {P.cells_sql('r', '(SELECT * FROM words WHERE word_id % 3 = 0)')}, seen AS (SELECT DISTINCT c.image_id, c.word_id FROM cc c JOIN r ON {P.same_cell('c', 'r')} AND {P.overlap_sql('c', 'r')} > 0.2)
 SELECT image_id, word_id, text FROM c ANTI JOIN seen USING (image_id, word_id)"""
 
 
@@ -211,7 +211,7 @@ def j2_overlap(spark, sf_dir):
     return G.overlap_join(second, words, 0.3).select("image_id", "a_word_id", "b_word_id")
 
 
-J2_SQL = f"WITH {W}, {SECOND_SQL}, s AS (SELECT image_id, word_id, x, y, 20.0::DOUBLE AS w, 12.0::DOUBLE AS h FROM sec) SELECT s.image_id, s.word_id AS a_word_id, words.word_id AS b_word_id FROM s JOIN words ON s.image_id = words.image_id AND s.y = words.y + 1 AND {P.overlap_sql('s', 'words')} > 0.3"
+J2_SQL = f"WITH {W}, {SECOND_SQL}, s AS (SELECT image_id, word_id, x, y, 20.0::DOUBLE AS w, 12.0::DOUBLE AS h FROM sec), {P.cells_sql('sc', 's')}, {P.cells_sql('wc', 'words')} SELECT DISTINCT s.image_id, s.word_id AS a_word_id, v.word_id AS b_word_id FROM sc s JOIN wc v ON {P.same_cell('s', 'v')} AND {P.overlap_sql('s', 'v')} > 0.3"
 
 
 def u2_except(spark, sf_dir):
@@ -221,8 +221,8 @@ def u2_except(spark, sf_dir):
     return G.except_contained(words.select("image_id", "word_id", "x", "y", "w", "h"), masks, "word_id").select("image_id", "word_id")
 
 
-U2_SQL = f"""WITH {MASKS}, pad AS (SELECT image_id, floor(y / 30) AS l, x - 3 AS x, y - 3 AS y, w + 6 AS w, h + 6 AS h FROM masks), c AS (SELECT * FROM words)
-SELECT image_id, word_id FROM c ANTI JOIN (SELECT DISTINCT c.image_id, c.word_id FROM c JOIN pad m ON c.image_id = m.image_id AND c.line_no = m.l AND m.x <= c.x + 1 AND m.y <= c.y + 1 AND m.x + m.w >= c.x + c.w - 1 AND m.y + m.h >= c.y + c.h - 1) k USING (image_id, word_id)"""
+U2_SQL = f"""WITH {MASKS}, pad AS (SELECT image_id, x - 3 AS x, y - 3 AS y, w + 6 AS w, h + 6 AS h FROM masks), {P.cells_sql('c', 'words')}, {P.cells_sql('mc', 'pad')}
+SELECT image_id, word_id FROM words ANTI JOIN (SELECT DISTINCT c.image_id, c.word_id FROM c JOIN mc m ON {P.same_cell('c', 'm')} AND m.x <= c.x + 1 AND m.y <= c.y + 1 AND m.x + m.w >= c.x + c.w - 1 AND m.y + m.h >= c.y + c.h - 1) k USING (image_id, word_id)"""
 
 
 def j3_beside(spark, sf_dir):
