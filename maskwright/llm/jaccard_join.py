@@ -248,7 +248,7 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     texts = _texts(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     side = lambda x: texts.select(F.col("doc_id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
     both = pairs.join(side("a"), F.col("a") == F.col("ia")).drop("ia").join(side("b"), F.col("b") == F.col("ib")).drop("ib")
-    return materialise(both.mapInArrow(tidy(_verify_batches(shingle, percent)), "a long, b long"), "links")
+    return materialise(both.mapInArrow(tidy(_verify_batches(shingle, percent), lean=True), "a long, b long"), "links")
 
 
 def _cross_pairs(percent: int, forest: bool):
@@ -330,18 +330,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = own.filter("doc_id is not null and text is not null")
     shape = "doc_id long, n long, h1 long, h2 long"
     # sets by their hash; the least id names a set from the verification on, so that equal hashes do no harm
-    sets = named.mapInArrow(tidy(_features(shingle, percent, sketched=True)), shape + ", bits binary").filter("n > 0")
+    sets = named.mapInArrow(tidy(_features(shingle, percent, sketched=True), lean=True), shape + ", bits binary").filter("n > 0")
     sets = materialise(sets.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits")), "sets")
     # first round: stars around the least set of each key
-    routed = named.mapInArrow(tidy(_stars_of_texts(shingle, percent)), "route long, key long, node long, n long, pivot long")
+    routed = named.mapInArrow(tidy(_stars_of_texts(shingle, percent), lean=True), "route long, key long, node long, n long, pivot long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    live = routed.repartition(parts, "route").sortWithinPartitions("route", "key", "node").mapInArrow(tidy(_star_across), "key long, node long, n long, pivot long")
+    live = routed.repartition(parts, "route").sortWithinPartitions("route", "key", "node").mapInArrow(tidy(_star_across, lean=True), "key long, node long, n long, pivot long")
     live = materialise(live, "live")
     # of the stars, those whose sizes and sketches allow the similarity
     stars = live.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
     fact = lambda x: sets.select(F.col("h1").alias(f"h{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
     both = stars.join(fact("a"), F.col("x") == F.col("ha")).drop("ha").join(fact("b"), F.col("y") == F.col("hb")).drop("hb", "x", "y")
-    stars = both.mapInArrow(tidy(_possible(percent)), "a long, b long").filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    stars = both.mapInArrow(tidy(_possible(percent), lean=True), "a long, b long").filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     stars = materialise(stars.distinct(), "stars")
     links = verify(stars, named, shingle, percent)
     merged = materialise(connected_components(links), "merged")
@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         members = placed.join(materialise(open_keys, "open"), F.col("key") == F.col("_k")).select("key", "node", "comp", "size")
         rows = members.join(facts, F.col("node") == F.col("_f")).select("key", "node", "comp", "n", "bits", "size")
         dealt = cells(rows, ["key"], BLOCK).repartition(parts, "cell").sortWithinPartitions("cell", "node").select("cell", "node", "comp", "n", "bits", "side")
-        more = dealt.mapInArrow(tidy(_cross_pairs(percent, forest)), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+        more = dealt.mapInArrow(tidy(_cross_pairs(percent, forest), lean=True), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         more = materialise(more, "more")
         tested = tested.unionByName(more)
         links = links.unionByName(verify(more, named, shingle, percent))
@@ -371,7 +371,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         members = members.select("key", "node")
     known = sets.join(merged.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("n", "h1", "h2", F.coalesce("component", "node").alias("component_id"))
     known = materialise(known, "known").withColumnsRenamed({"n": "_a", "h1": "_b", "h2": "_c"})
-    small = own.mapInArrow(tidy(_features(shingle, percent)), shape)
+    small = own.mapInArrow(tidy(_features(shingle, percent), lean=True), shape)
     out = small.join(known, (F.col("n") == F.col("_a")) & (F.col("h1") == F.col("_b")) & (F.col("h2") == F.col("_c")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
