@@ -312,6 +312,7 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW
     rows = materialise(named.mapInArrow(tidy(_select_batches(window, gram)), once), "selected")
     often = rows.groupBy(F.col("f").alias("_f")).agg(F.sum("weight").alias("w")).filter("w > 1").select("_f", (F.col("w") > hot).cast("byte").alias("hot"))
     often = materialise(often, "often")
+    release(spark)
     places = rows.join(often, F.col("f") == F.col("_f")).groupBy(F.col("d").alias("_d"), F.col("th").alias("_th")).agg(F.collect_list(F.struct(F.col("s"), F.col("n").cast("int").alias("n"), F.col("f"), F.col("hot").cast("int").alias("hot"))).alias("places"))
     places = materialise(places, "places")
     release(spark, rows, often)
@@ -321,6 +322,7 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW
     place = F.struct("d", "th", "s")
     firsts = passages.groupBy("key", "h1", "h2").agg(F.min(place).alias("first"), F.first("words").alias("words"), F.first("n").alias("n"))
     firsts = materialise(firsts, "firsts")
+    release(spark)
     streamed = firsts.select("key", "first.d", "first.th", "first.s", "words").repartition("key").sortWithinPartitions("key")
     found = streamed.mapInArrow(tidy(_stream_batches(window, shard)), "d long, th long, a int, z int")
     of = [F.col(c).alias(f"_{c}") for c in ("key", "h1", "h2")]
