@@ -39,13 +39,28 @@ def pixel_delta(a: Column, b: Column) -> Column:
 WATCH = "canvas_id string, seq long, event string, x int, y int, w int, h int, tries int, hidden boolean"
 
 
-def watch_redraws(events: DataFrame, side: int, forget_ms: int | None = None) -> DataFrame:
+def _timed(events: DataFrame, forget: str | None, late: str) -> tuple[DataFrame, int, str]:
+    """(events with a watermark, milliseconds after which a key's state ends, the kind of timeout)."""
+    if forget is None:
+        return events.withColumn("ts", F.lit(None).cast("timestamp")), 0, GroupStateTimeout.NoTimeout
+    return events.withWatermark("ts", late), int(pd.Timedelta(forget).total_seconds() * 1000), GroupStateTimeout.EventTimeTimeout
+
+
+def _ends(state: GroupState, last: pd.Timestamp | None, forget_ms: int) -> None:
+    """Let the state end ``forget_ms`` after the key's last event, by the events' own time."""
+    if forget_ms and last is not None:
+        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + forget_ms)
+
+
+def watch_redraws(events: DataFrame, side: int, forget: str | None = None, late: str = "10 minutes") -> DataFrame:
     """State per canvas: what must be covered until it has been read.
 
-    ``events``: canvas_id, seq, kind ("drawn", "read", "failed"), sig (array of numbers; drawn only). A change covers at
-    once, a reading uncovers, a failed one counts; after ``RETRIES`` failures the cover stays. A canvas silent for
-    ``forget_ms`` is forgotten (never by default: such a timeout keeps a run over what is there from ending).
+    ``events``: canvas_id, seq, kind ("drawn", "read", "failed"), sig (array of numbers; drawn only), and ts where the state
+    is to end. A change covers at once, a reading uncovers, a failed one counts; after ``RETRIES`` failures the cover stays.
+    A canvas that is silent for ``forget`` ("1 hour"), by the events' time, is forgotten: what is drawn there next is new and
+    covered whole. Time goes on with the events alone, so that a run over what is there ends. Without ``forget`` state stays.
     """
+    events, forget_ms, timeout = _timed(events, forget, late)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -53,8 +68,9 @@ def watch_redraws(events: DataFrame, side: int, forget_ms: int | None = None) ->
             return
         sig, box, tries = state.get if state.exists else ([], [], 0)
         sig, box = list(sig), list(box)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+        out, rows = [], pd.concat(list(batches)).sort_values("seq")
+        last = rows.ts.max() if forget_ms else None
+        for r in rows.itertuples():
             if r.kind == "drawn":
                 new = list(map(float, r.sig))
                 hot = [i for i, (p, q) in enumerate(zip(sig, new, strict=False)) if abs(p - q) > CHANGED] if len(sig) == len(new) else range(side * side)
@@ -71,11 +87,10 @@ def watch_redraws(events: DataFrame, side: int, forget_ms: int | None = None) ->
             b = [box[0], box[1], box[2] - box[0], box[3] - box[1]] if box else [0, 0, 0, 0]
             out.append((key[0], r.seq, r.kind, *b, tries, bool(box)))
         state.update((sig, box, tries))
-        if forget_ms:
-            state.setTimeoutDuration(forget_ms)
+        _ends(state, last, forget_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in WATCH.split(", ")])
 
-    return events.groupBy("canvas_id").applyInPandasWithState(step, WATCH, "sig array<double>, box array<int>, tries int", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout)
+    return events.groupBy("canvas_id").applyInPandasWithState(step, WATCH, "sig array<double>, box array<int>, tries int", "append", timeout)
 
 
 def latest_run(results: DataFrame, key: str = "canvas_id", seq: str = "seq", value: str = "value") -> DataFrame:
@@ -83,20 +98,30 @@ def latest_run(results: DataFrame, key: str = "canvas_id", seq: str = "seq", val
     return results.groupBy(key).agg(F.max(seq).alias(seq), F.max_by(value, seq).alias(value))
 
 
-def latest_run_stream(results: DataFrame) -> DataFrame:
-    """Stream of (canvas_id, seq, value): late results of older runs are dropped."""
+def latest_run_stream(results: DataFrame, forget: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Stream of (canvas_id, seq, value): late results of older runs are dropped.
+
+    With ``forget`` (results have ts) the newest number of a key that is silent for so long is forgotten; results that are
+    older than the watermark (``late``) are dropped in any case, so that ``forget`` should be the longer of the two.
+    """
+    results, forget_ms, timeout = _timed(results, forget, late)
 
     def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = state.get[0] if state.exists else -1
-        rows = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+        rows, came = [], pd.concat(list(batches)).sort_values("seq")
+        last = came.ts.max() if forget_ms else None
+        for r in came.itertuples():
             if r.seq > seen:
                 seen = int(r.seq)
                 rows.append((key[0], r.seq, r.value))
         state.update((seen,))
+        _ends(state, last, forget_ms)
         yield pd.DataFrame(rows, columns=["canvas_id", "seq", "value"])
 
-    return results.groupBy("canvas_id").applyInPandasWithState(step, "canvas_id string, seq long, value double", "seen long", "append", GroupStateTimeout.NoTimeout)
+    return results.groupBy("canvas_id").applyInPandasWithState(step, "canvas_id string, seq long, value double", "seen long", "append", timeout)
 
 
 def mask_stream(texts: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes", allow=NEUTRAL) -> DataFrame:
