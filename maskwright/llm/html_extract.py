@@ -10,7 +10,8 @@ varies is content. Pages with the same text in every slot have one vote, so that
 
 Slots whose text varies and is yet no content (a menu of related pages, adverts, readers' comments) are told by tag, role
 or class words. Where a page has an article or a main part, nothing else is content. On templates with fewer than
-``LEAST_PAGES`` distinct pages there is nothing to induce, and only these marks decide.
+``LEAST_PAGES`` distinct pages there is nothing to induce, and only these marks decide. From its ``TEMPLATES`` commonest
+templates on, a host's others share one wrapper.
 
 Defined cases: null or empty html and pages without content give the empty text; very long and very deep pages are parsed
 whole, in steps that grow with their length (no recursion); unclosed and truncated elements end where their parent or the

@@ -2,8 +2,9 @@
 
 A word enters as a hashed word vector and the mean of its hashed character-trigram vectors. Windows of ``WIDTH`` words
 overlap by half; every window of a text is scored and the text gets the highest score. The network is fitted on the
-driver on a bounded sample of labelled rows (about ``TRAIN_ROWS`` per class, chosen by a hash of the id; the only bound):
-first on all windows with their document's label, then on the strongest windows of each document.
+driver on a bounded sample of labelled rows (about ``TRAIN_ROWS`` per class, chosen by a hash of the id): first on windows
+with their document's label, at most ``EPOCH_WINDOWS`` a pass, then on the strongest windows of each document. Scoring has
+no bound.
 
 Defined cases: null or empty texts and texts without words get the network's score of an empty window; very long texts
 are scored whole; texts shorter than a window are padded and masked; repeated rows get equal scores; ids with several
