@@ -24,6 +24,8 @@ CLIENT, EMAIL, IDENTIFIER, NUMBER, TEXT = "Client name", "Email", "Identifier",
 
 # Patterns of the token rules.
 STRIP = r"\A[^\p{L}\p{N}_€$£¥₹%#@]+|[^\p{L}\p{N}_€$£¥₹%]+\z"
+#: Tokens that ``STRIP`` leaves as they are.
+BARE = r"(?s)\A[#@]?+(?:[\p{L}\p{N}_€$£¥₹%]|[\p{L}\p{N}_€$£¥₹%].*[\p{L}\p{N}_€$£¥₹%])\z"
 YEAR = r"\A(19|20)[0-9]{2}\z"
 PERIOD = r"(?i)\A(q[1-4]|h[12]|fy[0-9]{2,4}|w[0-9]{1,2}|p[0-9]{1,2})\z"
 WINDOW = r"(?i)\A[lrtpn][0-9]{1,3}[dwmqy]\z"
@@ -108,7 +110,9 @@ def classify(c: Column | str, allow: Sequence[str] | Column = NEUTRAL, clients:
         return out.when(has(raw, r"[0-9@€$£¥₹%]"), plain(marked)).otherwise(plain(word))
 
     # the stripped forms are made once per token and bound by a lambda
-    raw, clean = js_trim(_col(c)), clean_token(c)
+    # most tokens have nothing to strip: their first and last characters say so
+    bare = has(_col(c), BARE)
+    raw, clean = F.when(bare, _col(c)).otherwise(js_trim(_col(c))), F.when(bare, _col(c)).otherwise(clean_token(c))
     token = F.array(F.struct(raw.alias("raw"), clean.alias("clean"), F.lower(clean).alias("low")))
     return F.when(_col(c).isNotNull(), F.element_at(F.transform(token, rules), 1))
 
