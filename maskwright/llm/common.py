@@ -26,26 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: lineage is cut, lost executors cost nothing."""
+#: Spark's option to remove the shuffle files of a job when it ends, and not when the driver collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, name: str = "step", clean: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: lineage is cut, lost executors cost nothing.
+
+    ``clean``: the shuffle files of the job go with its end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    if clean:
+        spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clean:
+            spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession, *written: DataFrame) -> None:
-    """Delete tables of ``materialise`` that nothing reads any more, and let Spark remove shuffle files of finished jobs.
-
-    Spark does the latter when the driver's JVM collects garbage, which may be long after.
-    """
+    """Delete tables of ``materialise`` that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     for df in written:
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    jvm.System.gc()
 
 
 def _give_back() -> None:

@@ -309,27 +309,25 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW
     key, body = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_NULL_ID)), F.col(f"`{text}`")
     named = docs.filter(body.isNotNull()).select(key.alias("d"), F.xxhash64(body).alias("th"), body.alias("t"))
     once = "f long, d long, th long, s int, n byte, weight byte"
-    rows = materialise(named.mapInArrow(tidy(_select_batches(window, gram)), once), "selected")
+    rows = materialise(named.mapInArrow(tidy(_select_batches(window, gram)), once), "selected", clean=True)
     often = rows.groupBy(F.col("f").alias("_f")).agg(F.sum("weight").alias("w")).filter("w > 1").select("_f", (F.col("w") > hot).cast("byte").alias("hot"))
-    often = materialise(often, "often")
-    release(spark)
+    often = materialise(often, "often", clean=True)
     places = rows.join(often, F.col("f") == F.col("_f")).groupBy(F.col("d").alias("_d"), F.col("th").alias("_th")).agg(F.collect_list(F.struct(F.col("s"), F.col("n").cast("int").alias("n"), F.col("f"), F.col("hot").cast("int").alias("hot"))).alias("places"))
-    places = materialise(places, "places")
+    places = materialise(places, "places", clean=True)
     release(spark, rows, often)
     held = named.join(places.hint("merge"), (F.col("d") == F.col("_d")) & (F.col("th") == F.col("_th"))).select("d", "th", "t", "places")
-    passages = materialise(held.mapInArrow(tidy(_cut_batches(window)), _PASSAGES), "passages")
+    passages = materialise(held.mapInArrow(tidy(_cut_batches(window)), _PASSAGES), "passages", clean=True)
     release(spark, places)
     place = F.struct("d", "th", "s")
     firsts = passages.groupBy("key", "h1", "h2").agg(F.min(place).alias("first"), F.first("words").alias("words"), F.first("n").alias("n"))
-    firsts = materialise(firsts, "firsts")
-    release(spark)
+    firsts = materialise(firsts, "firsts", clean=True)
     streamed = firsts.select("key", "first.d", "first.th", "first.s", "words").repartition("key").sortWithinPartitions("key")
     found = streamed.mapInArrow(tidy(_stream_batches(window, shard)), "d long, th long, a int, z int")
     of = [F.col(c).alias(f"_{c}") for c in ("key", "h1", "h2")]
     other = passages.select("key", "h1", "h2", "d", "th", "s", "n").join(firsts.select(*of, "first"), (F.col("key") == F.col("_key")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).filter(place != F.col("first"))
     other = other.select("d", "th", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + window).alias("z"))
     spans = found.unionByName(other).groupBy(F.col("d").alias("_d"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-    spans = materialise(spans, "spans")
+    spans = materialise(spans, "spans", clean=True)
     release(spark, passages, firsts)
     return spans
 
