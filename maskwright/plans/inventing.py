@@ -12,12 +12,13 @@ from maskwright.operators import charts as D
 from maskwright.operators import comments as Q
 from maskwright.operators import context as C
 from maskwright.operators import masks as M
+from maskwright.operators import pages as V
 from maskwright.operators import pixels as I
 from maskwright.operators import replace as X
 from maskwright.operators import scales as Z
 from maskwright.plans import base as P
 from maskwright.plans.masking import ACTIVE_SQL, MASKS, W, _active
-from maskwright.plans.store import shared_path
+from maskwright.plans.store import shared_path, written
 from maskwright.sources.json_files import read_review, read_truth, review_parts, truth_words
 
 
@@ -257,6 +258,20 @@ SELECT image_id, word_id, in_comment, cm_start, CASE WHEN type <> {P._q(TEXT)} T
  WHEN cm_start AND ({_KNOWN('low')} OR (length(low) > 5 AND regexp_matches(low, {P._q(Q.COMMON_END)})) OR (low LIKE '%s' AND {_KNOWN("regexp_replace(low, 's$', '')")})) THEN NULL ELSE 'Name in comment' END AS type FROM g9"""
 
 
+def g2_page_masks(spark, sf_dir):
+    """All masks of documents, comments kept: a reader missed one word in thirty, a detector found every line of text."""
+    seen = written(_tight(P.document_words(spark, sf_dir)), "words")
+    right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+    lines = seen.groupBy("image_id", "line").agg(F.min("x").alias("x"), F.min("y").alias("y"), right.alias("r"), bottom.alias("b"), F.min("word_id").alias("region_id"))
+    none = {"safe": "boolean", "blob": "boolean", "date": "string", "read": "string", "weak": "boolean"}
+    box = lines.withColumns({"w": F.col("r") - F.col("x"), "h": F.col("b") - F.col("y")})
+    regions = box.select("image_id", "region_id", *"xywh", F.struct(*"xywh").alias("core"), F.lit(0.0).alias("angle"), F.col("w").alias("len"), F.col("h").alias("thick"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    read = seen.filter(P.draw("missed", F.col("image_id"), F.col("word_id")) % 30 != 0)
+    typed = written(V.page_types(read, keep_comments=True, regions=regions), "typed")
+    masks = V.with_unread(written(V.page_masks(typed), "masks"), typed, regions)
+    return masks.groupBy("image_id", "type").agg(F.count("*").alias("n_masks"), F.sum("n_words").alias("n_words"), F.sum(F.floor(F.col("w"))).alias("width"))
+
+
 def g11_slanted(spark, sf_dir):
     """Two pieces of a slanted label for every customer, at gaps and turns of many sizes, and a level one."""
     k = F.col("k")
@@ -451,7 +466,7 @@ SELECT o_orderkey, greatest(32, floor(w * k / 32 + 0.5) * 32)::BIGINT AS width,
 QUERIES = {
     "t11_fake_ticks": t11_ticks, "t13_fake_entities": t13_entities, "t14_fitted": t14_fitted, "t15_fake_ids": t15_ids, "t15_fake_titles": t15_titles, "t20_read_sizes": t20_read_sizes,
     "j8_second_look": j8_second_look, "j10_context": j10_context, "j10_labels": j10_labels, "j15_redraw_clashes": j15_redraw, "j16_after_month": j16_days,
-    "g7_axis_scales": g7_axes, "g8_total_links": g8_totals, "g9_comments": g9_comments, "g11_join_slanted": g11_slanted,
+    "g7_axis_scales": g7_axes, "g8_total_links": g8_totals, "g9_comments": g9_comments, "g2_page_masks": g2_page_masks, "g11_join_slanted": g11_slanted,
     "a13_ink_exposure": a13_ink, "a14_distortion": a14_distortion, "a15_hot_cells": a15_cells, "a15_chart_areas": a15_areas, "j1_strict": j1_strict, "t10_plan": t10_plan, "t12_letters": t12_letters, "a16_fingerprint": a16_fingerprint, "u1_mask_layers": u1_layers, "s3_truth_words": s3_truth, "s4_review_masks": s4_review,
 }
 SQL = {
