@@ -59,6 +59,18 @@ def t6_box_roles(spark, sf_dir):
     return _labels(spark, sf_dir).select("label", L.role_of(c).alias("role"), L.id_prefix(c).alias("prefix")).distinct()
 
 
+_SKIP = P.list_sql(sorted(L.ID_SKIP))
+T6_BOX_SQL = rf"""WITH {LABELS_SQL}, b AS (SELECT DISTINCT label, trim(lower(label)) AS low FROM lab),
+d AS (SELECT *, CASE WHEN regexp_matches(low, {P._q(L.BY_SOMEONE)}) THEN '' ELSE regexp_extract(low, '\bby\s+([a-z][a-z ]*)$', 1) END AS dim FROM b),
+x AS (SELECT *, CASE WHEN dim <> '' THEN trim(dim) ELSE low END AS said, dim <> '' AND regexp_matches(string_split(dim, ' ')[-1], {P._q(L.PLACE)}) AS place FROM d),
+s AS (SELECT *, {singular_sql('said')} AS n FROM x), e AS (SELECT *, {_ENT} AS entity, {_BY} AS byname FROM s),
+u AS (SELECT *, coalesce(list_filter(regexp_split_to_array(regexp_replace(upper(label), '[^A-Z\s]', ' ', 'g'), '\s+'), lambda w: w <> '' AND NOT list_contains({_SKIP}, w))[1], 'ID') AS w FROM e),
+v AS (SELECT *, substr(substr(w, 1, 1) || regexp_replace(substr(w, 2), '[AEIOU]', '', 'g'), 1, 3) AS bones FROM u)
+SELECT label, CASE WHEN place THEN 'city' WHEN said = '' THEN NULL WHEN regexp_matches(said, {P._q(L.PERSON_CUE)}) OR regexp_matches(n, {P._q(L.PHYSICIAN)}) THEN 'person'
+ WHEN entity IS NOT NULL AND NOT regexp_matches(n, 'e-?mail|phone|\b(id|code|number|no)\b|#') THEN 'company' WHEN byname = 'person' AND regexp_matches(n, '\b(customer|client|account|company|vendor|partner|brand)\b') THEN 'company' ELSE byname END AS role,
+ CASE WHEN length(bones) >= 3 THEN bones ELSE substr(w, 1, 3) END AS prefix FROM v"""
+
+
 def t16_locale(spark, sf_dir):
     n = P.read(spark, sf_dir, "nation")
     return n.select("n_nationkey", L.locale_for_place(F.col("n_name")).alias("locale"))
@@ -131,6 +143,23 @@ def t18_quotes(spark, sf_dir):
     return both.select("conv_id", "turn", T.scrub_quote(F.col("text"), F.col("vocab")).alias("quote"))
 
 
+def _norm(c: str) -> str:
+    return f"replace(lower({P.core_sql(c)}), '’', chr(39))"
+
+
+def _fair(c: str) -> str:
+    return f"coalesce(list_contains(vocab, {c}) OR list_contains({P.list_sql(T.NEUTRAL)}, {c}), false)"
+
+
+_RUNS = r"regexp_replace(regexp_replace(j, '(\[…\][^\s\p{L}\p{N}]*\s*){2,}', '[…] ', 'g'), '\s+([.,!?;:])', '\1', 'g')"
+T18_SQL = rf"""WITH v AS (SELECT conv_id, list_transform(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: {_norm('w')}) AS vocab FROM conversations WHERE turn = 0),
+q AS (SELECT conv_id, turn, vocab, list_filter(regexp_split_to_array(substr(coalesce(text, ''), 1, 400), '[{T.JS_WS}]+'), lambda t: t <> '') AS toks FROM conversations JOIN v USING (conv_id)),
+p AS (SELECT conv_id, turn, array_to_string(list_transform(toks, lambda t: CASE WHEN regexp_matches(t, '(?i)\A\[(…|\.\.\.|hidden|redacted|masked|client|name)\][^A-Za-z0-9_]*\z') THEN '[…]' WHEN {_norm('t')} = '' THEN t
+ WHEN regexp_matches(t, '(?i)[0-9]|@|https?:|www\.') THEN '[…]' WHEN {_fair(_norm('t'))} THEN t
+ WHEN regexp_matches({_norm('t')}, '[-'']') AND len(list_filter(regexp_split_to_array({_norm('t')}, '[-'']'), lambda w: w <> '' AND NOT {_fair('w')})) = 0 THEN t ELSE '[…]' END), ' ') AS j FROM q)
+SELECT conv_id, turn, {P.trim_sql(_RUNS)} AS quote FROM p"""
+
+
 def t19_near(spark, sf_dir):
     """Neighbouring words of a line that are spelled nearly the same."""
     words = P.document_words(spark, sf_dir)
@@ -277,6 +306,6 @@ QUERIES = {
     "m6_regions": m6_regions, "r1_changed_box": r1_changes, "r2_watch_redraws": r2_watch, "r3_latest_run": r3_latest, "r3_latest_run_stream": r3_latest_stream, "r4_mask_stream": r4_mask_stream,
 }
 SQL = {
-    "t5_singular": T5_SQL, "t6_roles": T6_SQL, "t7_parse_date": T7_SQL, "t8_shift_date": T8_SQL, "t9_date_order": T9_SQL, "t16_industry": T16_SQL, "t16_locale": T16L_SQL, "t17_scrub": T17_SQL, "t19_near_words": T19_SQL,
+    "t5_singular": T5_SQL, "t6_roles": T6_SQL, "t6_box_roles": T6_BOX_SQL, "t7_parse_date": T7_SQL, "t8_shift_date": T8_SQL, "t9_date_order": T9_SQL, "t16_industry": T16_SQL, "t16_locale": T16L_SQL, "t17_scrub": T17_SQL, "t18_scrub_quote": T18_SQL, "t19_near_words": T19_SQL,
     "m1_person_org": M1_SQL, "m3_context_hits": M3_SQL, "m4_ctc_decode": M4_SQL, "m5_scorer": M5_SQL, "r1_changed_box": R1_SQL, "r3_latest_run": R3_SQL, "r3_latest_run_stream": R3_STREAM_SQL, "r4_mask_stream": R4_SQL,
 }
