@@ -27,6 +27,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "4m").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    HEADLINE["t2_classify"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # start-up and compilation are not the first query's
     times = {}
     for name, query in HEADLINE.items():
         began = time.time()
