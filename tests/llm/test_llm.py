@@ -321,6 +321,37 @@ def test_ppm(spark):
     assert all(g["score"] < 0 and g["train_tokens"] == n for g in got)
 
 
+def test_ppm_whole_model(spark):
+    """Over a million n-grams of training text: what occurs twice counts as such, as plain partial matching has it."""
+    rare = "Zyx qv-17 wobbled past eleven krakens; twice."
+    texts = Counter({"the cat sat on the mat and the dog lay by the door of the old house ": 16_000, rare: 2, "": 1, "größer als je": 3})
+    rows = [(i, t) for i, t in enumerate(texts.elements())]
+    held = [(-1, rare), (-2, "the cat wobbled"), (-3, None), (-4, "Q" * 40)]
+    docs = frame(spark, rows + held)
+    got = {x["doc_id"]: x["score"] for x in ppm_score.language_model_scores(docs, F.col("doc_id") >= 0).collect()}
+    seen = [{} for _ in range(ppm_score.DEPTH + 1)]
+    for t, times in texts.items():
+        raw = bytes(ppm_score.DEPTH) + t.encode() + b"\0"
+        for at in range(ppm_score.DEPTH, len(raw)):
+            for k in range(ppm_score.DEPTH + 1):
+                seen[k].setdefault(raw[at - k : at], Counter())[raw[at]] += times
+
+    def p(k, ctx, sym):
+        own = seen[k].get(ctx, Counter())
+        if k == 0:
+            return (own[sym] + 0.5) / (own.total() + 128)
+        if not own:
+            return p(k - 1, ctx[1:], sym)
+        if sym in own:
+            return own[sym] / (own.total() + len(own))
+        return len(own) / (own.total() + len(own)) * p(k - 1, ctx[1:], sym) / max(1 - sum(p(k - 1, ctx[1:], s) for s in own), 1e-9)
+
+    for i, t in [*held, (0, rows[0][1]), (len(rows) - 1, rows[-1][1])]:
+        raw = bytes(ppm_score.DEPTH) + (t or "").encode() + b"\0"
+        want = sum(math.log10(p(ppm_score.DEPTH, raw[at - ppm_score.DEPTH : at], raw[at])) for at in range(ppm_score.DEPTH, len(raw)))
+        assert abs(got[i] - want) < 1e-4 * abs(want) + 1e-5, (i, got[i], want)
+
+
 def test_trie_is_a_distribution():
     text = b"abracadabra abracadabra"
     code, _ = ppm_score.byte_codes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
