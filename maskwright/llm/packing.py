@@ -13,6 +13,7 @@ in row order; repeated rows are packed again; an empty table gives an empty tabl
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -29,6 +30,10 @@ WINDOW, END_ID = 2048, 1
 GROUP = 50_000
 #: Bytes of text that are tokenized at once, and of finished ids that a group holds at most.
 CHUNK_BYTES, GROUP_BYTES = 1 << 20, 12 << 20
+#: Bytes that are hashed at once: eight bytes for each fit a core's cache.
+HASH_BYTES = 1 << 18
+#: Rows of a batch that carries ids: 2 MB at most.
+IDS_ROWS = 256
 #: Pieces whose ids a worker keeps, and the bytes of one at most: longer ones are tokenized each time.
 CACHE_PIECES, PIECE_BYTES = 300_000, 64
 
@@ -74,6 +79,8 @@ class Words:
     def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
+        # a task has one core; threads of each worker would only wait for it, each with a heap of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -111,19 +118,23 @@ class Words:
         """(ids of pieces, each tokenized alone; where each piece's begin there; how many they are)."""
         flat, begin, size, used = [], np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), 0
         # pieces that are a blank and a word in one text: each begins with the only token that has its blank
-        joint = [p[:1] == b" " and len(p) > 1 and len(p.split()) == 1 and p[1:2] > b" " and p[-1:] > b" " and p.isascii() for p in pieces]
+        words = [p.decode() for p in pieces]
+        joint = [p[:1] == " " and p[1:].split() == [p[1:]] for p in words]
         together = np.flatnonzero(joint)
-        for a in range(0, len(together), 8192):
-            part = together[a : a + 8192]
-            ids = self.encode([b"".join([pieces[i] for i in part.tolist()]).decode()])[0]
+        for a in range(0, len(together), 2048):
+            part = together[a : a + 2048]
+            ids = self.encode(["".join([words[i] for i in part.tolist()])])[0]
             first = np.flatnonzero(self.blank[ids])
             begin[part], size[part] = used + first, np.diff(np.append(first, len(ids)))
             flat.append(ids)
             used += len(ids)
-        for i, x in zip(alone := np.flatnonzero(~np.array(joint, bool)).tolist(), self.encode([pieces[i].decode() for i in alone]), strict=True):
-            begin[i], size[i] = used, len(x)
-            flat.append(x)
-            used += len(x)
+        alone = np.flatnonzero(~np.array(joint, bool)).tolist()
+        for a in range(0, len(alone), 1024):
+            part = alone[a : a + 1024]
+            for i, x in zip(part, self.encode([words[i] for i in part]), strict=True):
+                begin[i], size[i] = used, len(x)
+                flat.append(x)
+                used += len(x)
         return np.concatenate(flat) if flat else np.zeros(0, np.uint32), begin, size
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
@@ -150,7 +161,7 @@ class Words:
         end = np.append(begin[1:], len(data))
         row = np.searchsorted(off, begin, "right") - 1
         key = np.empty(len(begin), np.uint64)
-        for a, z in B.runs(np.append(begin, len(data))):  # hashes are made of bounded runs
+        for a, z in B.runs(np.append(begin, len(data)), HASH_BYTES):
             x, y = int(begin[a]), int(end[z - 1])
             key[a:z] = B.span_hashes(data[x:y], begin[a:z] - x, end[a:z] - x)
         long = np.flatnonzero((end - begin > PIECE_BYTES) | whole)
@@ -273,8 +284,9 @@ def _pack_batches(path: str, window: int, end_id: int, with_ids: bool, key_type)
         def flush():
             nonlocal used
             found = pack([len(t) // 4 for t in tokens], window)
-            for a in range(0, len(found), 4000):
-                part = found[a : a + 4000]
+            rows = IDS_ROWS if with_ids else 4000
+            for a in range(0, len(found), rows):
+                part = found[a : a + rows]
                 cut = [tokens[i][4 * s : 4 * (s + n)] for i, s, n, _, _ in part]
                 cols = [
                     pa.array([keys[i] for i, *_ in part], key_type), pa.array([p[1] for p in part], pa.int64()), pa.array([p[2] for p in part], pa.int64()),

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import types
 import zlib
 from collections import Counter
 
@@ -307,6 +309,33 @@ def test_decontaminate(spark, monkeypatch):
     assert decontaminate.find_matches(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_packing_words_outside_ascii():
+    """Blank and word go to the tokenizer together, whatever their letters; no threads of its own beside the task's."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    w, given = packing.Words(TOKENS), []
+    encode = w.encode
+    w.encode = lambda texts: given.extend(texts) or encode(texts)
+    text = "größer über été naïve Ἀθήνα слово " + "".join(f"x{i}ß " for i in range(300)) + "a\u00a0b \u00a0c e\u0301\u2003 d's"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    got, _ = w.ids(raw, np.array([0, len(raw)]))
+    assert got.tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(given) < 10 and os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
+def test_packing_batches_are_small():
+    """A batch with ids holds 2 MB of them at most; a group of 12 MB used to go out in one."""
+    class Here:
+        get = staticmethod(lambda: types.SimpleNamespace(partitionId=lambda: 0))
+
+    held, packing.TaskContext = packing.TaskContext, Here
+    try:
+        docs = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(["one two three four five six seven eight " * 500] * 600)], names=["doc_id", "text"])
+        sizes = [b.column("ids").nbytes for b in packing._pack_batches(TOKENS, packing.WINDOW, packing.END_ID, True, pa.int64())(iter([docs]))]
+    finally:
+        packing.TaskContext = held
+    assert sum(sizes) > 8 << 20 and max(sizes) <= (2 << 20) + 4096
+
+
 def test_ppm(spark):
     rows = corpus(6, 60) + EDGE + [(903, "x")]
     docs = frame(spark, rows)
