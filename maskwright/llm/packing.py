@@ -14,6 +14,7 @@ in row order; repeated rows are packed again; an empty table gives an empty tabl
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -34,17 +35,18 @@ CHUNK_BYTES, GROUP_BYTES = 1 << 20, 12 << 20
 HASH_BYTES = 1 << 18
 #: Rows of a batch that carries ids: 2 MB at most.
 IDS_ROWS = 256
+#: Pieces that are tokenized in one text, and texts that are tokenized at once: the tokenizer is quicker on short texts.
+JOINT_PIECES, TEXTS = 128, 64
 #: Pieces whose ids a worker keeps, and the bytes of one at most: longer ones are tokenized each time.
 CACHE_PIECES, PIECE_BYTES = 300_000, 64
 
 _state: dict = {}
 
-#: Added to the uses of a piece that the chunk at hand needs.
+#: Added to the uses of a piece that the chunk at hand needs, when others are forgotten.
 _IN_USE = 1 << 40
 
-_LETTER = B._byte_set((65, 90), (97, 122))
-_PUNCTUATION = B._byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
-_BLANK = B._byte_set((9, 13), (32, 32))
+#: Pieces that are a blank or a line end and a word.
+_JOINT = re.compile(r"[ \n]\S+")
 
 
 def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -64,10 +66,16 @@ def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     three = np.zeros(len(before), np.uint8)
     three[2:] = data[:-3]
     dark |= wide & ~((two == 0xC2) | (three == 0xE1) | (three == 0xE2) | (three == 0xE3))
-    new[1:] |= (_BLANK[now] & dark) | (_PUNCTUATION[now] & _LETTER[before])
+    blank = (now == 32) | ((now >= 9) & (now <= 13))
+    new[1:] |= (blank & dark) | ((now > 32) & (now < 127) & ~_letter(now) & ~((now >= 48) & (now <= 57)) & _letter(before))
     return np.flatnonzero(new)
 
 
+def _letter(data: np.ndarray) -> np.ndarray:
+    low = data | np.uint8(32)
+    return (low >= 97) & (low <= 122)
+
+
 class Words:
     """Ids of texts by a byte-level tokenizer, each distinct piece (see ``cuts``) tokenized once while it is remembered.
 
@@ -87,9 +95,9 @@ class Words:
         self.tokenizer.encode_special_tokens = special_as_text
         self.special = [] if special_as_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
-        #: Tokens that begin with a blank (byte-level alphabets write it as U+0120).
+        #: Tokens that begin with a blank or a line end (byte-level alphabets write them as U+0120 and U+010A).
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.blank[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True
+        self.blank[[i for t, i in vocabulary.items() if t[:1] in ("\u0120", "\u010a")]] = True
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros((0, 3), np.int64)  # begin and number of ids, uses
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -105,6 +113,8 @@ class Words:
             while at >= 0:
                 rows.add(int(np.searchsorted(off, at, "right")) - 1)
                 at = raw.find(token, at + 1)
+        if not rows:
+            return begin, np.zeros(len(begin), bool)
         whole = np.zeros(len(off), bool)
         whole[list(rows)] = True
         whole = whole[np.searchsorted(off, begin, "right") - 1]
@@ -112,35 +122,32 @@ class Words:
         return begin[stay], whole[stay]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        runs = (texts[a : a + TEXTS] for a in range(0, len(texts), TEXTS))
+        return [np.asarray(e.ids, np.uint32) for run in runs for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
 
     def fresh(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of pieces, each tokenized alone; where each piece's begin there; how many they are)."""
-        flat, begin, size, used = [], np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), 0
-        # pieces that are a blank and a word in one text: each begins with the only token that has its blank
         words = [p.decode() for p in pieces]
-        joint = [p[:1] == " " and p[1:].split() == [p[1:]] for p in words]
-        together = np.flatnonzero(joint)
-        for a in range(0, len(together), 2048):
-            part = together[a : a + 2048]
-            ids = self.encode(["".join([words[i] for i in part.tolist()])])[0]
-            first = np.flatnonzero(self.blank[ids])
-            begin[part], size[part] = used + first, np.diff(np.append(first, len(ids)))
-            flat.append(ids)
-            used += len(ids)
-        alone = np.flatnonzero(~np.array(joint, bool)).tolist()
-        for a in range(0, len(alone), 1024):
-            part = alone[a : a + 1024]
-            for i, x in zip(part, self.encode([words[i] for i in part]), strict=True):
-                begin[i], size[i] = used, len(x)
-                flat.append(x)
-                used += len(x)
-        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), begin, size
-
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        joint = np.array([_JOINT.fullmatch(p) is not None for p in words], bool)
+        together, alone = np.flatnonzero(joint), np.flatnonzero(~joint)
+        # pieces that are a blank or a line end and a word in one text: each begins with the only token that has its blank
+        same = [words[i] for i in together.tolist()]
+        texts = ["".join(same[a : a + JOINT_PIECES]) for a in range(0, len(same), JOINT_PIECES)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *self.encode(texts)])
+        first = np.flatnonzero(self.blank[flat])
+        begin[together], size[together] = first, np.diff(np.append(first, len(flat)))
+        apart = self.encode([words[i] for i in alone.tolist()])
+        size[alone] = [len(x) for x in apart]
+        begin[alone] = len(flat) + np.cumsum(size[alone]) - size[alone]
+        return np.concatenate([flat, *apart]), begin, size
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes], in_use: np.ndarray) -> None:
+        """Remember pieces; those at the places ``in_use`` are not forgotten for them."""
         if len(self.keys) + len(keys) > CACHE_PIECES:
-            wanted = int((self.at[:, 2] >= _IN_USE).sum())
-            stay = np.sort(np.argsort(-self.at[:, 2], kind="stable")[: max(wanted, CACHE_PIECES // 2 - len(keys))])
+            rank = -self.at[:, 2]
+            rank[in_use] -= _IN_USE
+            stay = np.sort(np.argsort(rank, kind="stable")[: max(len(in_use), CACHE_PIECES // 2 - len(keys))])
             size = self.at[stay, 1]
             ends = np.cumsum(size)
             self.flat = self.flat[np.repeat(self.at[stay, 0] - (ends - size), size) + np.arange(size.sum())]
@@ -159,35 +166,32 @@ class Words:
         """(32-bit ids of all texts, one after the other; where each text's begin, rows + 1)."""
         begin, whole = self.pieces(data, off)
         end = np.append(begin[1:], len(data))
-        row = np.searchsorted(off, begin, "right") - 1
         key = np.empty(len(begin), np.uint64)
         for a, z in B.runs(np.append(begin, len(data)), HASH_BYTES):
             x, y = int(begin[a]), int(end[z - 1])
             key[a:z] = B.span_hashes(data[x:y], begin[a:z] - x, end[a:z] - x)
-        long = np.flatnonzero((end - begin > PIECE_BYTES) | whole)
-        short = np.ones(len(begin), bool)
-        short[long] = False
-        unique, first, of, uses = np.unique(key[short], return_index=True, return_inverse=True, return_counts=True)
+        apart = (end - begin > PIECE_BYTES) | whole
+        long, short = np.flatnonzero(apart), np.flatnonzero(~apart)
+        unique, of, uses = np.unique(key[short], return_inverse=True, return_counts=True)
         place = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[place] != unique) if len(self.keys) else np.arange(len(unique))
+        known = self.keys[place] == unique if len(self.keys) else np.zeros(len(unique), bool)
         raw = data.tobytes()
-        if len(new):
-            which = np.flatnonzero(short)[first[new]]
-            # what is known of this chunk must survive the learning
-            self.at[place[np.setdiff1d(np.arange(len(unique)), new)], 2] += _IN_USE
-            self._learn(unique[new], [raw[x:y] for x, y in zip(begin[which].tolist(), end[which].tolist(), strict=True)])
-            self.at[:, 2] %= _IN_USE
+        if not known.all():
+            which = np.empty(len(unique), np.int64)
+            which[of] = short  # one occurrence of each
+            which = which[~known]
+            self._learn(unique[~known], [raw[x:y] for x, y in zip(begin[which].tolist(), end[which].tolist(), strict=True)], place[known])
             place = np.searchsorted(self.keys, unique)
         self.at[place, 2] += uses
         start, size = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
         start[short], size[short] = self.at[place, 0][of], self.at[place, 1][of]
-        apart = self.encode([raw[x:y].decode("utf-8") for x, y in zip(begin[long].tolist(), end[long].tolist(), strict=True)]) if len(long) else []
-        size[long] = [len(x) for x in apart]
+        own = self.encode([raw[x:y].decode("utf-8") for x, y in zip(begin[long].tolist(), end[long].tolist(), strict=True)])
+        size[long] = [len(x) for x in own]
         ends = np.cumsum(size)
-        out = self.flat[np.minimum(np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0), len(self.flat) - 1)]
-        for i, x in zip(long.tolist(), apart, strict=True):
+        out = self.flat.take(np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0), mode="clip")
+        for i, x in zip(long.tolist(), own, strict=True):
             out[ends[i] - size[i] : ends[i]] = x
-        return out, np.concatenate([[0], ends])[np.searchsorted(row, np.arange(len(off)))]
+        return out, np.append(0, ends)[np.searchsorted(begin, off)]
 
 
 class Room:

@@ -322,6 +322,18 @@ def test_packing_words_outside_ascii():
     assert len(given) < 10 and os.environ["TOKENIZERS_PARALLELISM"] == "false"
 
 
+def test_packing_words_at_line_starts():
+    """A line's first word goes to the tokenizer with others, not alone; texts given to it are short, for it is slower on long ones."""
+    w, given = packing.Words(TOKENS), []
+    encode = w.encode
+    w.encode = lambda texts: given.extend(texts) or encode(texts)
+    text = "".join(f"\nx{i}ß y{i}\u00e4 it{i}'s" for i in range(2000)) + "\n\u00a0a \n b\n\nc\r\nd\n's\n12"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    got, _ = w.ids(raw, np.array([0, len(raw)]))
+    assert got.tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(given) < 200 and max(map(len, given)) < 2000
+
+
 def test_packing_batches_are_small():
     """A batch with ids holds 2 MB of them at most; a group of 12 MB used to go out in one."""
     class Here:
