@@ -78,12 +78,13 @@ def covered_pixels(pixels: DataFrame, boxes: DataFrame, centre: float = 0.5) ->
 def distortion(before: DataFrame, after: DataFrame, boxes: DataFrame) -> DataFrame:
     """(image_id, changed): pixels that differ outside all replaced boxes, taken to whole pixels outward."""
     new = after.select("image_id", "px", "py", *(F.col(c).alias(f"new_{c}") for c in "rgb"))
-    moved = before.join(new, ["image_id", "px", "py"]).filter("r != new_r or g != new_g or b != new_b")
+    # pictures are small tables made large: Spark may take their pixels for few and send them whole through the driver
+    moved = before.join(new.hint("merge"), ["image_id", "px", "py"]).filter("r != new_r or g != new_g or b != new_b")
     x, y = F.floor("x"), F.floor("y")
     whole = boxes.select("image_id", x.cast("double").alias("x"), y.cast("double").alias("y"), (F.ceil(F.col("x") + F.col("w")) - x).cast("double").alias("w"), (F.ceil(F.col("y") + F.col("h")) - y).cast("double").alias("h"))
-    outside = moved.join(covered_pixels(moved.select("image_id", "px", "py"), whole), ["image_id", "px", "py"], "left_anti")
+    outside = moved.join(covered_pixels(moved.select("image_id", "px", "py"), whole).hint("merge"), ["image_id", "px", "py"], "left_anti")
     counts = outside.groupBy("image_id").agg(F.count("*").alias("changed"))
-    return before.select("image_id").distinct().join(counts, "image_id", "left").na.fill(0, ["changed"])
+    return before.select("image_id").distinct().join(counts.hint("merge"), "image_id", "left").na.fill(0, ["changed"])
 
 
 def fingerprint(pixels: DataFrame, boxes: DataFrame, sizes: DataFrame) -> DataFrame:
