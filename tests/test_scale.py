@@ -115,5 +115,11 @@ def test_labels_in_one_search(spark):
     assert out == [("0", 2), ("0", 4), ("1", 1), ("1", 3), ("2", 2)]
 
 
-def test_checking_plans_build(spark):
-    assert checking.a12_replica(spark, SF).count() > 0
+def test_coverage_is_worked_out_once_each(spark):
+    """Two coverages are two searches for boxes, each with two sides."""
+    assert plan(checking.a7_score(spark, SF)).count("explode(sequence(_s") == 4
+
+
+def test_gate_reads_written_images(spark):
+    """The gate's two sides read one table; nothing is searched again."""
+    assert "sequence(_s" not in plan(checking.a10_gate(spark, SF))
